@@ -1,0 +1,47 @@
+"""Every query of the catalogue: name -> (Spark job, reference SQL or None)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.operators import evaluate, features
+from linkloom.plans import experiment, oracle
+from linkloom.plans import standins as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def keep(job: Query) -> Query:
+        QUERIES[name] = job
+        if sql is not None:
+            ORACLES[name] = sql
+        return job
+
+    return keep
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> experiment.Prepared:
+    return experiment.prepare(S.corpus(spark, sf_dir), S.links(spark, sf_dir))
+
+
+def _link_rank(method: str) -> Query:
+    def job(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepared = _prepared(spark, sf_dir)
+        return experiment.sparse_ranks(prepared, experiment.known_terms(prepared), method)
+
+    return job
+
+
+for _method, _suffix in (("Binary", "binary"), ("TF", "tf"), ("TF-IDF", "tfidf")):
+    register(f"link_rank_{_suffix}", f"WITH {oracle.ranks(_method)} SELECT * FROM ranks")(_link_rank(_method))
+
+
+@register("rank_measures", f"WITH {oracle.ranks('TF-IDF')} {oracle.measures('ranks')}")
+def rank_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiment.flagship(S.corpus(spark, sf_dir), S.links(spark, sf_dir))
