@@ -34,7 +34,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.array_size(words(text)), F.lit(0))
+    return F.coalesce(F.array_size(words(text)), F.lit(0)).cast("long")
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -78,11 +78,15 @@ def split_marked(content: Column) -> tuple[Column, Column]:
     The order of the rewrites is part of the contract: newlines are deleted, not replaced, so the
     words around one are joined.  Only the first body marker splits.
     """
+    parts = marked_parts(content)
+    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+
+
+def marked_parts(content: Column) -> Column:
     flat = F.replace(content, F.lit(TITLE_MARK), F.lit(""))
     flat = F.replace(flat, F.lit("\n"), F.lit(""))
     flat = F.replace(flat, F.lit(TEXT_MARK), F.lit(DELIMITER))
-    parts = F.split(flat, DELIMITER_PATTERN, 2)
-    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    return F.split(flat, DELIMITER_PATTERN, 2)
 
 
 def compose(title: Column, body: Column) -> Column:
@@ -98,19 +102,24 @@ def language_by_profile(
     English wins ties; the value is NULL when no profile is hit at all.
     """
     profiles = profiles or LANGUAGE_PROFILES
-    opening = F.slice(F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), F.lit(0)), 1, n_words)
-
-    def hits(listed: str) -> Column:
-        known = F.array(*[F.lit(w) for w in listed.split()])
-        return F.size(F.filter(opening, lambda w: F.array_contains(known, w)))
-
-    scored = {lang: hits(listed) for lang, listed in profiles.items()}
-    best = F.greatest(*scored.values())
-    choice = None
-    for lang, score in scored.items():
-        test = (score == best) & (best > 0)
-        choice = F.when(test, lang) if choice is None else choice.when(test, lang)
-    return choice
+    opening = F.regexp_extract(text, rf"^(?:[^\p{{L}}\p{{N}}_]*{WORD_RUN}){{0,{n_words}}}", 0)
+    found = F.slice(F.regexp_extract_all(F.lower(opening), F.lit(WORD_RUN), F.lit(0)), 1, n_words)
+
+    def scored(words_found: Column) -> Column:
+        candidates = []
+        for place, (lang, listed) in enumerate(profiles.items()):
+            known = F.array(*[F.lit(w) for w in listed.split()])
+            hits = F.size(F.filter(words_found, lambda w: F.array_contains(known, w)))
+            candidates.append(F.struct(hits.alias("hits"), F.lit(-place).alias("turn"), F.lit(lang).alias("lang")))
+        return F.array_max(F.array(*candidates))
+
+    best = once(found, scored)
+    return once(best, lambda b: F.when(b["hits"] > 0, b["lang"]))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 Detector = Callable[[Column], Column]

@@ -90,7 +90,7 @@ def _count_above(queries: pd.DataFrame, articles: pd.DataFrame) -> pd.DataFrame:
     if len(queries) and len(articles):
         for scores in _block_scores(_entries(q_start, q_terms, q_w), _entries(a_start, a_terms, a_w), len(queries), len(articles)):
             above += (np.rint(scores * 10**DECIMALS) > goal).sum(axis=0)
-    return pd.DataFrame({"web_id": queries["web_id"], "pmid": queries["pmid"], "above": above})
+    return queries[["web_id", "pmid", "cos"]].assign(above=above)
 
 
 def _entries(start, terms, weights):
@@ -179,11 +179,8 @@ def rank_links(
         queries.repartition(tasks, "_qb", "_ab")
         .groupBy("_qb", "_ab")
         .cogroup(targets.repartition(tasks, "_qb", "_ab").groupBy("_qb", "_ab"))
-        .applyInPandas(_count_above, "web_id long, pmid long, above long")
+        .applyInPandas(_count_above, "web_id long, pmid long, cos double, above long")
     )
-    above = partial.groupBy("web_id", "pmid").agg(F.sum("above").alias("above"))
-    return (
-        scored.select("web_id", "pmid", "cos")
-        .join(above, ["web_id", "pmid"], "left")
-        .select("web_id", "pmid", "cos", (F.coalesce("above", F.lit(0)) + 1).alias("rank"))
+    return partial.groupBy("web_id", "pmid").agg(
+        F.max("cos").alias("cos"), (F.sum("above") + 1).alias("rank")
     )

@@ -50,6 +50,36 @@ def attach_per_key(
     return left.join(right, [*keys, "_salt"], how).drop("_salt", "_hot")
 
 
+def join_on_hot_key(
+    rows: DataFrame,
+    per_key: DataFrame,
+    key: str,
+    spread: Column,
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join with one row per key when only ``rows`` itself tells which keys are hot.
+
+    Same spreading as ``attach_per_key``; also serves semi and anti joins.  Sizes come from one
+    combining count of the key column.
+    """
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts))
+    none = F.lit(0).cast("long")
+    left = rows.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), salt).otherwise(none)
+    )
+    every = F.sequence(none, F.lit(salts - 1).cast("long"))
+    right = (
+        per_key.join(F.broadcast(hot), key, "left")
+        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(none))))
+        .drop("_hot")
+    )
+    return left.join(right, [key, "_salt"], how).drop("_salt", "_hot")
+
+
 def _all_present(keys: Sequence[str]) -> Column:
     present = F.lit(True)
     for k in keys:

@@ -47,24 +47,14 @@ def known_terms(prepared: Prepared, min_df: int | None = None, max_df: float | N
 
 
 def sparse_ranks(prepared: Prepared, known: DataFrame, method: str) -> DataFrame:
-    """Ranks of the test links among the test articles under one weighting."""
+    """Ranks of the test links among the test articles under one weighting.
+
+    Documents without any vocabulary term have no vector: their score is 0, which never exceeds the
+    score of a link, because weights are not negative.
+    """
     test = known.where(F.col("split") == "Test")
     vectors = materialize(features.sparse_vectors(test, method, prepared.n_docs))
-    everyone = _with_empty(prepared, vectors)
-    return scoring.rank_links(prepared.test_links, everyone)
-
-
-def _with_empty(prepared: Prepared, vectors: DataFrame) -> DataFrame:
-    """Documents without a vocabulary term count as candidates with score 0."""
-    test = prepared.corpus.where(F.col("split") == "Test").select("side", "id")
-    empty = test.join(vectors.select("side", "id"), ["side", "id"], "left_anti").select(
-        "side",
-        F.lit("Test").alias("split"),
-        "id",
-        F.array().cast("array<long>").alias("terms"),
-        F.array().cast("array<double>").alias("weights"),
-    )
-    return vectors.unionByName(empty)
+    return scoring.rank_links(prepared.test_links, vectors)
 
 
 def flagship(corpus: DataFrame, links: DataFrame, method: str = "TF-IDF") -> DataFrame:

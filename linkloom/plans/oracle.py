@@ -99,3 +99,188 @@ def measures(source: str, by: str = "") -> str:
   round(100.0::DOUBLE * count(*) FILTER (rank <= 50) / count(*), 6) AS pct50,
   round(100.0::DOUBLE * count(*) FILTER (rank <= 250) / count(*), 6) AS pct250
 FROM {source}{group}"""
+
+
+# Stand-ins for the raw tables.
+
+RAW_ARTICLES = f"""{D},
+pm_raw AS (
+  SELECT doc_id AS pmid, array_to_string(ws[1:8], ' ') AS title,
+    CASE WHEN source = 'src7' THEN 'n/a' ELSE coalesce(array_to_string(ws[9:], ' '), '') END AS abstract
+  FROM d
+)"""
+
+
+def _copy(kind: int, title_start: int, body: str, url: str) -> str:
+    return f"""SELECT doc_id * 5 + {kind} AS web_id,
+    'TITLE: ' || array_to_string(ws[{title_start}:{title_start + 7}], ' ') || chr(10)
+      || 'TEXT: ' || array_to_string({body}, ' ') AS processed_content,
+    {url} AS url, doc_id // 2 AS pmid FROM d"""
+
+
+RAW_PAGES = f"""web_raw AS (
+  {_copy(0, 1, "ws", "source || '/' || (n_chars // 100)")}
+  UNION ALL {_copy(1, 2, "ws[1:n // 5] || ['edited'] || ws[n // 5 + 1:]", "source || '/c1/' || doc_id")}
+  UNION ALL {_copy(2, 3, "ws[n // 2 + 1:] || ws[1:n // 2]", "source || '/c2/' || doc_id")}
+  UNION ALL {_copy(3, 4, "ws", "source || '/c3/' || doc_id")}
+  UNION ALL {_copy(4, 1, "ws || ['added', 'line']", "source || '/c4/' || doc_id")}
+)"""
+
+_NULLED = "CASE WHEN regexp_matches({0}, '" + T.NULL_MARKS + "') THEN NULL ELSE {0} END"
+
+ARTICLES = f"""{RAW_ARTICLES},
+pm_text AS (
+  SELECT pmid, {_NULLED.format("title")} AS title, {_NULLED.format("abstract")} AS abstract,
+    title || ': ' || abstract AS corpus_text, {wc("title || ': ' || abstract")} AS text_length
+  FROM pm_raw
+),
+pm_clean AS (SELECT * FROM pm_text WHERE text_length >= 100)"""
+
+
+def _hits(lang: str) -> str:
+    listed = ", ".join(f"'{w}'" for w in T.LANGUAGE_PROFILES[lang].split())
+    return f"len(list_filter(opening, lambda w: list_contains([{listed}], w))) AS {lang}"
+
+
+def language(source: str, text: str, out: str) -> str:
+    """CTE ``out``: ``source`` with column ``lang_found``."""
+    langs = list(T.LANGUAGE_PROFILES)
+    best = f"greatest({', '.join(langs)})"
+    cases = " ".join(f"WHEN {x} = {best} THEN '{x}'" for x in langs)
+    return f"""{out}_open AS (SELECT *, regexp_extract_all(lower({text}), '{T.WORD_RUN}')[1:30] AS opening FROM {source}),
+{out}_hits AS (SELECT *, {", ".join(_hits(x) for x in langs)} FROM {out}_open),
+{out} AS (SELECT *, CASE WHEN {best} = 0 THEN NULL {cases} END AS lang_found FROM {out}_hits)"""
+
+
+_FLAT = "replace(replace(replace(processed_content, 'TITLE: ', ''), chr(10), ''), 'TEXT: ', '{-}')"
+_MISSING = "IN ('', '0', ' ', 'None')"
+
+PAGES = f"""{ARTICLES},
+{RAW_PAGES},
+linked AS (SELECT *, {_FLAT} AS flat FROM web_raw WHERE pmid IN (SELECT pmid FROM pm_clean)),
+parts AS (
+  SELECT web_id, url, pmid, trim(array_to_string({ws("processed_content")}, ' ')) AS processed_content,
+    coalesce(trim(CASE WHEN contains(flat, '{{-}}') THEN left(flat, strpos(flat, '{{-}}') - 1) ELSE flat END), 'None') AS title,
+    coalesce(trim(CASE WHEN contains(flat, '{{-}}') THEN substr(flat, strpos(flat, '{{-}}') + 3) END), 'None') AS content
+  FROM linked
+),
+flagged AS (
+  SELECT *, title {_MISSING} AS title_nan, content {_MISSING} AS content_nan, {wc("processed_content")} AS text_length,
+    title || ': ' || content AS corpus_text
+  FROM parts
+),
+{language("flagged", "corpus_text", "spoken")},
+pages_clean AS (
+  SELECT web_id, processed_content, url, pmid, title, content, title_nan, content_nan, text_length, corpus_text
+  FROM spoken WHERE NOT (title_nan AND content_nan) AND text_length >= 100 AND lang_found = 'en'
+)"""
+
+DEDUPED = f"""{PAGES},
+once AS (SELECT * FROM pages_clean QUALIFY row_number() OVER (PARTITION BY content, pmid ORDER BY web_id) = 1),
+twice AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY title, pmid ORDER BY web_id) = 1),
+deduped AS (
+  SELECT *, count(*) OVER (PARTITION BY pmid) AS pmid_count, count(*) OVER (PARTITION BY url) AS url_count FROM twice
+)"""
+
+
+def near_pairs(denominator: str) -> str:
+    """CTEs up to ``pairs(gid, id_1, id_2, lcs, pct)`` by gaps and islands over equal words."""
+    pick = "least" if denominator == "min" else "greatest"
+    forward_only = "AND FALSE" if denominator == "max" else ""
+    bare = ws(f"lower(regexp_replace(corpus_text, '{T.PUNCTUATION}', '', 'g'))")
+    return f"""{DEDUPED},
+bare AS (SELECT pmid AS gid, web_id AS id, length(corpus_text) AS l, {bare} AS w FROM deduped),
+pos AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM bare),
+pr AS (SELECT a.gid, a.id AS a, b.id AS b FROM bare a JOIN bare b ON a.gid = b.gid AND a.id < b.id),
+same AS (SELECT a, b, x.i AS i, y.i AS j FROM pr JOIN pos x ON x.id = a JOIN pos y ON y.id = b AND y.word = x.word),
+isl AS (SELECT a, b, i, j, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS g FROM same),
+runs AS (SELECT a, b, count(*) AS n, min(i) AS i, min(j) AS j FROM isl GROUP BY a, b, i - j, g),
+fwd AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY n DESC, i, j) = 1),
+bwd AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY n DESC, j, i) = 1),
+both_ways AS (
+  SELECT pr.gid, pr.a, pr.b, array_to_string(x.w[f.i:f.i + f.n - 1], ' ') AS run_f,
+    array_to_string(y.w[r.j:r.j + r.n - 1], ' ') AS run_b, {pick}(x.l, y.l) AS l
+  FROM pr JOIN fwd f USING (a, b) JOIN bwd r USING (a, b) JOIN bare x ON x.id = pr.a JOIN bare y ON y.id = pr.b
+),
+pairs AS (
+  SELECT gid, a AS id_1, b AS id_2, run_f AS lcs, round(length(run_f)::DOUBLE / l * 100, 6) AS pct
+  FROM both_ways WHERE length(run_f)::DOUBLE / l * 100 > 50
+  UNION ALL
+  SELECT gid, b, a, run_b, round(length(run_b)::DOUBLE / l * 100, 6)
+  FROM both_ways WHERE length(run_f)::DOUBLE / l * 100 <= 50 AND length(run_b)::DOUBLE / l * 100 > 50 {forward_only}
+)"""
+
+
+SURVIVORS = f"""{near_pairs("min")},
+members AS (SELECT gid, id_1 AS web_id FROM pairs UNION SELECT gid, id_2 FROM pairs),
+kept AS (
+  SELECT m.gid, m.web_id FROM members m JOIN deduped USING (web_id)
+  QUALIFY row_number() OVER (PARTITION BY m.gid ORDER BY length(corpus_text) DESC, m.web_id) = 1
+),
+surviving AS (
+  SELECT * FROM deduped
+  WHERE web_id NOT IN (SELECT web_id FROM members) OR web_id IN (SELECT web_id FROM kept)
+)"""
+
+EDGES = """edges AS (
+  SELECT l_orderkey AS pmid, l_partkey || '/' || l_suppkey AS url, l_extendedprice AS len,
+    lpad(l_orderkey::VARCHAR, 12, '0') || '-' || lpad(l_linenumber::VARCHAR, 4, '0') || '-'
+      || lpad(l_partkey::VARCHAR, 12, '0') || '-'
+      || lpad(round(l_extendedprice * 100)::BIGINT::VARCHAR, 14, '0') AS row_id
+  FROM lineitem
+),
+counted AS (
+  SELECT *, count(*) OVER (PARTITION BY pmid) AS pmid_count, count(*) OVER (PARTITION BY url) AS url_count FROM edges
+)"""
+
+
+def free(where: str, taken: str | None) -> str:
+    rest = (
+        f" AND pmid NOT IN (SELECT pmid FROM {taken}) AND url NOT IN (SELECT url FROM {taken})" if taken else ""
+    )
+    return f"SELECT pmid, url, len, row_id FROM counted WHERE {where}{rest}"
+
+
+ONE_ONE = "pmid_count = 1 AND url_count = 1"
+ONE_MANY = "pmid_count = 1 AND url_count > 1"
+MANY_ONE = "pmid_count > 1 AND url_count = 1"
+MANY_MANY = "pmid_count > 1 AND url_count > 1"
+
+
+def first_per_url(where: str, taken: str | None = None) -> str:
+    return f"""SELECT pmid, url, row_id FROM ({free(where, taken)})
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY row_id) = 1"""
+
+
+def longest_per_article(where: str, taken: str | None = None) -> str:
+    return f"""SELECT pmid, url, row_id FROM ({free(where, taken)})
+  QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY len DESC, row_id) = 1"""
+
+
+def greedy(where: str, taken: str | None = None) -> str:
+    """CTEs up to ``matched``: rounds of proposals until no url is contested."""
+    return f"""open_edges AS ({free(where, taken)}),
+live AS (
+  SELECT *, min(row_id) OVER (PARTITION BY pmid) AS prio, 0 AS round FROM open_edges
+  UNION ALL
+  SELECT pmid, url, len, row_id, prio, round + 1 FROM (
+    SELECT *, max(n_prop) OVER () AS busiest FROM (
+      SELECT *, min(CASE WHEN prop THEN prio END) OVER (PARTITION BY url) AS holder,
+        count(*) FILTER (prop) OVER (PARTITION BY url) AS n_prop
+      FROM (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY len DESC, row_id) = 1 AS prop FROM live)
+    )
+  ) WHERE busiest > 1 AND (holder IS NULL OR prio <= holder)
+),
+matched AS (
+  SELECT pmid, url, row_id FROM (SELECT * FROM live WHERE round = (SELECT max(round) FROM live))
+  QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY len DESC, row_id) = 1
+)"""
+
+
+CASCADE = f"""RECURSIVE {EDGES},
+c1 AS ({free(ONE_ONE, None)}),
+t1 AS (SELECT pmid, url, row_id FROM c1),
+t2 AS (SELECT * FROM t1 UNION ALL {first_per_url(ONE_MANY, "t1")}),
+t3 AS (SELECT * FROM t2 UNION ALL {longest_per_article(MANY_ONE, "t2")}),
+{greedy(MANY_MANY, "t3")}
+SELECT * FROM t3 UNION ALL SELECT * FROM matched"""

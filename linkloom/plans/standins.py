@@ -18,9 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a text table, spread over the cores when its files give too few splits.
+
+    A table of many files is read as it lies; only a small input is dealt out again, so that the
+    word-level work on it does not run on one core.
+    """
+    df = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("ws"))
-    return docs.withColumn("n", F.size("ws"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.select("doc_id", T.words(F.col("text")).alias("ws")).withColumn("n", F.size("ws"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +52,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _unlinked_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace("html", "<[^>]*>", " ")
     return (
-        table(spark, sf_dir, "pages")
+        texts(spark, sf_dir, "pages", "page_id", "html")
         .select(F.lit("pm").alias("side"), (F.lit(-1) - F.col("page_id")).alias("id"), plain.alias("txt"))
         .where(T.word_count(F.col("txt")) >= MIN_WORDS)
     )
@@ -62,7 +73,7 @@ def landed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pmid, title, abstract): one article per document; one source has unusable abstracts."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents", "doc_id", "source", "text").select(
         "doc_id", "source", T.words(F.col("text")).alias("ws")
     )
     rest = F.array_join(F.slice("ws", F.lit(9), F.greatest(F.size("ws") - 8, F.lit(0))), " ")
@@ -79,7 +90,7 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Kind 0 is the original; 1 an edited copy (one word inserted after a fifth of the text); 2 has
     its halves swapped; 3 the same content under another title; 4 the same title with a line added.
     """
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents", "doc_id", "source", "n_chars", "text").select(
         "doc_id", "source", "n_chars", T.words(F.col("text")).alias("ws")
     )
     n = F.size("ws")
