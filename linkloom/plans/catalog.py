@@ -20,7 +20,7 @@ from linkloom.operators import (
     splits,
 )
 from linkloom.operators import nearduplicates as near
-from linkloom.plans import experiment, oracle
+from linkloom.plans import experiment, grid, oracle
 from linkloom.plans import standins as S
 from linkloom.runtime import materialize
 
@@ -485,3 +485,43 @@ def recall_at_n(spark, sf_dir):
     prepared = _prepared(spark, sf_dir)
     ranks = materialize(experiment.sparse_ranks(prepared, experiment.known_terms(prepared), "TF-IDF"))
     return evaluate.recall_at_n(ranks)
+
+
+# Experiments
+
+
+def _threshold_results_sql() -> str:
+    text = f"""WITH {oracle.TERMS},
+limited AS (SELECT term, df, term_id FROM vocab, nd WHERE df >= 2 AND df <= 0.85::DOUBLE * n_docs)"""
+    parts = []
+    for tag, method in (("_b", "Binary"), ("_t", "TF"), ("_i", "TF-IDF")):
+        text += ",\n" + oracle.rank_ctes(method, "limited", tag)
+        parts.append(f"SELECT '{method}' AS feature, rank FROM ranks{tag}")
+    union = " UNION ALL ".join(parts)
+    return f"""{text}
+SELECT *, 'Thresholds' AS reduction, 2 AS min_df, 0.85::DOUBLE AS max_df, 0 AS tsvd, FALSE AS cca, 0 AS cca_k,
+  feature || '_Thresholds_2_0.85_0_false_0' AS experiment, 100000.0::DOUBLE / median * 3 AS marker_size
+FROM ({oracle.measures(f"({union})", "feature")})"""
+
+
+@register("experiment_results", _threshold_results_sql())
+def experiment_results(spark, sf_dir):
+    prepared = _prepared(spark, sf_dir)
+    plan = grid.experiment_grid(spark, features.METHODS, [2], [0.85], []).where(
+        F.col("reduction") == grid.THRESHOLDS
+    )
+    return grid.results(grid.run_ranks(prepared, plan))
+
+
+@register("svd_rank_measures")
+def svd_rank_measures(spark, sf_dir):
+    prepared = _prepared(spark, sf_dir)
+    plan = grid.experiment_grid(spark, ["TF-IDF"], [2], [0.85], [10, 20]).where(F.col("reduction") == grid.TSVD)
+    return grid.results(grid.run_ranks(prepared, plan))
+
+
+@register("cca_rank_measures")
+def cca_rank_measures(spark, sf_dir):
+    prepared = _prepared(spark, sf_dir)
+    plan = grid.experiment_grid(spark, ["TF-IDF"], [2], [1.0], [10, 20], [5, 10, 20])
+    return grid.results(grid.run_ranks(prepared, plan))
