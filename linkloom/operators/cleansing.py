@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
+from linkloom.runtime import pinned
 
 MIN_WORDS = 100
 
@@ -31,7 +32,7 @@ def article_text(articles: DataFrame) -> DataFrame:
 
 
 def cleanse_articles(articles: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    return article_text(articles).where(F.col("text_length") >= min_words)
+    return pinned(article_text(articles)).where(F.col("text_length") >= min_words)
 
 
 def article_stages(articles: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -103,9 +104,9 @@ def cleanse_pages(
     detector: T.Detector = T.language_by_profile,
 ) -> DataFrame:
     """Linked, long enough pages in one language, with title, content and composed text."""
-    kept = page_text(only_linked(pages, articles)).where(has_text() & (F.col("text_length") >= min_words))
+    kept = pinned(page_text(only_linked(pages, articles))).where(has_text() & (F.col("text_length") >= min_words))
     return (
-        with_language(kept, detector)
+        pinned(with_language(kept, detector))
         .where(F.col("lang") == language)
         .select(
             "web_id",

@@ -22,7 +22,7 @@ from linkloom.operators import (
 from linkloom.operators import nearduplicates as near
 from linkloom.plans import experiment, grid, oracle
 from linkloom.plans import standins as S
-from linkloom.runtime import materialize
+from linkloom.runtime import materialize, pinned
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,7 +109,8 @@ def null_standardise(spark, sf_dir):
 @register("word_count_filter", f"WITH {oracle.D} SELECT doc_id, n AS n_words FROM d WHERE n >= 100")
 def word_count_filter(spark, sf_dir):
     docs = S.texts(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.select("doc_id", T.word_count(F.col("text")).alias("n_words")).where(F.col("n_words") >= 100)
+    counted = pinned(docs.select("doc_id", T.word_count(F.col("text")).alias("n_words")))
+    return counted.where(F.col("n_words") >= 100)
 
 
 @register("article_cleanse", f"WITH {oracle.ARTICLES} SELECT * FROM pm_clean")
@@ -124,7 +125,7 @@ WHERE NOT (title_nan AND content_nan)""",
 )
 def missing_text_filter(spark, sf_dir):
     pages = cleansing.only_linked(S.raw_pages(spark, sf_dir), article_cleanse(spark, sf_dir))
-    return cleansing.page_text(pages).where(cleansing.has_text()).select("web_id", "title_nan", "content_nan")
+    return pinned(cleansing.page_text(pages)).where(cleansing.has_text()).select("web_id", "title_nan", "content_nan")
 
 
 @register(
@@ -134,9 +135,8 @@ SELECT doc_id, lang_found FROM found WHERE lang_found = 'en'""",
 )
 def lang_filter(spark, sf_dir):
     docs = S.texts(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.select("doc_id", T.language_by_profile(F.col("text")).alias("lang_found")).where(
-        F.col("lang_found") == "en"
-    )
+    spoken = pinned(docs.select("doc_id", T.language_by_profile(F.col("text")).alias("lang_found")))
+    return spoken.where(F.col("lang_found") == "en")
 
 
 def _clean_pages(spark, sf_dir):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
+from linkloom.runtime import pinned
 
 MIN_WORDS = 100
 
@@ -34,9 +35,13 @@ def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.words(F.col("text")).alias("ws")).withColumn("n", F.size("ws"))
 
 
+def _long_documents(words: DataFrame) -> DataFrame:
+    return pinned(words).where(F.col("n") >= MIN_WORDS)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(side, id, txt): web pages, linked articles and unlinked articles."""
-    docs = _document_words(spark, sf_dir).where(F.col("n") >= MIN_WORDS)
+    docs = _long_documents(_document_words(spark, sf_dir))
     half = F.floor(F.col("n") / 2).cast("int")
     sides = F.array(
         F.struct(
@@ -51,15 +56,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _unlinked_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace("html", "<[^>]*>", " ")
-    return (
-        texts(spark, sf_dir, "pages", "page_id", "html")
-        .select(F.lit("pm").alias("side"), (F.lit(-1) - F.col("page_id")).alias("id"), plain.alias("txt"))
-        .where(T.word_count(F.col("txt")) >= MIN_WORDS)
+    pages = texts(spark, sf_dir, "pages", "page_id", "html").select(
+        F.lit("pm").alias("side"), (F.lit(-1) - F.col("page_id")).alias("id"), plain.alias("txt")
     )
+    counted = pinned(pages.withColumn("n", T.word_count(F.col("txt"))))
+    return counted.where(F.col("n") >= MIN_WORDS).drop("n")
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _document_words(spark, sf_dir).where(F.col("n") >= MIN_WORDS)
+    docs = _long_documents(_document_words(spark, sf_dir).select("doc_id", "n"))
     return docs.select(F.col("doc_id").alias("web_id"), F.col("doc_id").alias("pmid"))
 
 

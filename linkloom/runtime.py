@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -30,6 +31,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """The same rows, with every column computed once.
+
+    A filter on a computed column is normally pushed below its projection as a copy of the whole
+    expression, and a chain of text columns then splits the same text many times.  Filters are not
+    pushed through a generator, so a one-element ``inline`` keeps them above the work.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: keeps the partitioning and the row order inside each partition."""
     checkpoint_root(df.sparkSession)
