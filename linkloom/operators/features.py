@@ -81,7 +81,7 @@ def weigh(method: str, tf: Column, df: Column, n_docs: Column) -> Column:
 def in_vocabulary(terms: DataFrame, vocab: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Document terms with ``term_id`` and ``df``; terms of very many documents are salted."""
     ids = vocab.select("term", "term_id", "df")
-    return attach_per_key(terms, ids, ["term"], "df", F.col("id"), hot_rows=hot_rows)
+    return attach_per_key(terms, ids, ["term"], "df", F.col("id"), hot_rows=hot_rows).drop("term")
 
 
 def features(known_terms: DataFrame, method: str, n_docs: Column) -> DataFrame:

@@ -405,7 +405,7 @@ def corpus_split(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return splits.split_corpus(S.corpus(spark, sf_dir), splits.split_links(S.links(spark, sf_dir)))
+    return splits.split_corpus(S.corpus(spark, sf_dir), splits.split_links(materialize(S.links(spark, sf_dir))))
 
 
 @register("corpus_lengths", f"WITH {oracle.SPLIT} SELECT side, split, count(*) AS n_docs FROM split_corpus GROUP BY ALL")

@@ -31,7 +31,7 @@ class Prepared:
 
 def prepare(corpus: DataFrame, links: DataFrame, fraction: float = 0.7, seed: int = 42) -> Prepared:
     """Split once, tokenise once; later experiments scan the written tables."""
-    tagged = materialize(splits.split_links(links, fraction, seed))
+    tagged = materialize(splits.split_links(materialize(links.select("web_id", "pmid")), fraction, seed))
     tagged_corpus = materialize(splits.split_corpus(corpus, tagged))
     terms = materialize(features.doc_terms(tagged_corpus))
     n_docs = F.lit(tagged_corpus.count())
