@@ -47,6 +47,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this session, once their results are stored.
+
+    Returns how many were deleted.  Frames that still read them stop working.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and scan it back.
 
@@ -59,4 +75,5 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

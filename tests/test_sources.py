@@ -97,5 +97,25 @@ def test_checkpoint_root_is_reused(spark):
     assert checkpoint_root(spark) == spark.sparkContext.getCheckpointDir()
     df = spark.range(10).repartition(3)
     assert cut(df).count() == 10 and materialize(df).count() == 10
+
+
+def test_release_deletes_only_written_tables(spark, monkeypatch):
+    from linkloom import runtime
+
+    monkeypatch.setattr(runtime, "_written", [])
+    kept = runtime.materialize(spark.range(3))
+    runtime._written.clear()
+    gone = runtime.materialize(spark.range(4))
+    assert gone.count() == 4 and runtime.release(spark) == 1 and kept.count() == 3
     with pytest.raises(Exception):
-        readers.matrix(spark, "/nonexistent/path").count()
+        gone.count()
+
+
+def test_pinned_filter_stays_above_the_work(spark):
+    from linkloom.runtime import pinned
+
+    df = spark.range(20).withColumn("n", F.length(F.repeat(F.lit("x"), F.col("id").cast("int"))))
+    kept = pinned(df).where(F.col("n") >= 15)
+    assert {r["id"] for r in kept.collect()} == set(range(15, 20))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repeat(") == 1
