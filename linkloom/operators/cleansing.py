@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
+from linkloom.operators.skew import join_on_hot_key
 from linkloom.runtime import pinned
 
 MIN_WORDS = 100
@@ -55,7 +56,8 @@ def only_linked(pages: DataFrame, articles: DataFrame) -> DataFrame:
     A page without an article id would only match an article without one, and article ids are
     never NULL, so a plain semi-join is the null-safe answer here.
     """
-    return pages.join(articles.select("pmid"), "pmid", "left_semi")
+    known = articles.select("pmid").distinct()
+    return join_on_hot_key(pages, known, "pmid", F.col("web_id"), "left_semi")
 
 
 def missing_links(pages: DataFrame, articles: DataFrame) -> DataFrame:

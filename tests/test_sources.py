@@ -12,11 +12,11 @@ def test_id_list_reads_first_column(spark, tmp_path):
 
 def test_article_files_drop_repeated_headers(spark, tmp_path):
     head = "PMID,Year,Title,Abstract,Authors,Journal,Volume,Issue,Pages,DOI,PMC\n"
-    (tmp_path / "PubMed_Data_1.csv").write_text(
+    (tmp_path / "articles_1.csv").write_text(
         head + '1,2001,"T, ""q""","two\nlines",A,J,1,2,3-4,d,None\n' + head + "2,None,nan,n/a,,J,1,2,3,d,77\n"
     )
-    (tmp_path / "PubMed_Data_2.csv").write_text(head + "3,2003,x,y,A,J,1,2,3,d,5\n")
-    got = {r["pmid"]: r for r in readers.article_files(spark, f"{tmp_path}/PubMed_Data*.csv").collect()}
+    (tmp_path / "articles_2.csv").write_text(head + "3,2003,x,y,A,J,1,2,3,d,5\n")
+    got = {r["pmid"]: r for r in readers.article_files(spark, f"{tmp_path}/articles_*.csv").collect()}
     assert set(got) == {1, 2, 3}
     assert got[1]["title"] == 'T, "q"' and got[1]["abstract"] == "two\nlines" and got[1]["pmc"] is None
     assert got[2]["year"] is None and got[2]["title"] is None and got[2]["abstract"] is None and got[2]["authors"] is None
