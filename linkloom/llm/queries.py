@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import exact_dedup, simhash
+from linkloom.llm import exact_dedup, simhash, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), model)
+
+
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -22,11 +29,17 @@ def op7_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("factors")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_prefix_counts,
         op3_simhash_pivots,
         op7_block_naming,
+        op10_relative_lz,
     )
 }
 
