@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import exact_dedup, simhash, substring_dedup, token_counts
+from linkloom.llm import decontaminate, exact_dedup, simhash, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_blockmax_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = exact_dedup.name_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return named.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_prefix_counts,
         op3_simhash_pivots,
+        op6_blockmax_bm25,
         op7_block_naming,
         op10_relative_lz,
     )
