@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontaminate, exact_dedup, simhash, substring_dedup, token_counts
+from linkloom.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    language,
+    mixing,
+    quality,
+    simhash,
+    substring_dedup,
+    token_counts,
+    url_reputation,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +31,33 @@ def op1_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), model)
 
 
+#: Conversation -7 of the contract: a text with the control strings of common templates.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op2_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame(
+        [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_conversations(turns), in_order=True).drop("expanded_tokens")
+
+
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op5_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    rows = language.from_pages(_table(spark, sf_dir, "pages")).unionByName(language.from_documents(documents))
+    return language.identify(rows, *language.fit(documents))
+
+
 def op6_blockmax_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +67,16 @@ def op7_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = quality.resample(documents, _table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "log_weight")
+
+
+def op9_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("shards")
+
+
 def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("factors")
 
@@ -41,9 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_prefix_counts,
+        op2_typed_parts,
         op3_simhash_pivots,
+        op4_host_reputation,
+        op5_evidence_fusion,
         op6_blockmax_bm25,
         op7_block_naming,
+        op8_importance_resampling,
+        op9_splitting_tree,
         op10_relative_lz,
     )
 }
