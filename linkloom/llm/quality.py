@@ -31,10 +31,10 @@ from linkloom.runtime import materialize
 BITS = 18
 SIZE = 1 << BITS
 BYTES = 4
-REPEAT_STEPS = 20
+REPEAT_STEPS = 5
 ENTRIES = 2 * SIZE + REPEAT_STEPS + 1
 #: A ratio counts from this many standard errors on.
-SIGNIFICANCE = 4.0
+SIGNIFICANCE = 5.0
 PSEUDO_COUNT = 0.5
 #: ... and when the target has the n-gram at most at this share of the raw rate.
 DEPLETED = 0.25
