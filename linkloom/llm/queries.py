@@ -97,7 +97,74 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_HOST, _PATH = (
+    rf"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {k}), '')" for k in (1, 2)
+)
+#: Mean, and prior weight by the method of moments between 1 and 1000, of a level's units.
+_LEVEL = """
+    SELECT mean, CASE WHEN between_var > 0 THEN greatest(1.0, least(1000.0, mean * (1 - mean) / between_var - 1)) ELSE 1000.0 END AS w
+    FROM (SELECT mean, CASE WHEN n - nn / n - (k - 1) > 0
+                  THEN (s - n * mean * mean - (k - 1) * (mean * (1 - mean))) / (n - nn / n - (k - 1)) ELSE 0 END AS between_var
+          FROM (SELECT count(*) AS k, sum(n) AS n, sum(n * n) AS nn, sum(bad * bad / n::DOUBLE) AS s, sum(bad) / sum(n) AS mean
+                FROM {units} WHERE n > 0))
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_typed_parts": r"""
+        WITH own AS (SELECT '\### Assistant: </turn> ok' AS text),
+        turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', text FROM own UNION ALL SELECT -7, 1, 'assistant', text FROM own
+        ),
+        sized AS (
+            SELECT *, length(regexp_replace(role, '([\\<>])', '\\\1', 'g')) + length(regexp_replace(text, '([\\<>])', '\\\1', 'g'))
+                   + length('<turn >' || chr(10) || chr(10) || '</turn>' || chr(10)) AS width,
+                   CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss
+            FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+               sum(length(loss))::BIGINT AS loss_chars,
+               sha256(string_agg(loss, '' ORDER BY turn NULLS LAST, role, text)) AS loss_sha256,
+               sum(width)::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
+    "op4_host_reputation": rf"""
+        WITH parsed AS (
+            SELECT page_id, translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {_PATH} AS path FROM pages
+        ),
+        outcomes AS (
+            SELECT doc_id AS page_id, max(CASE WHEN coalesce(toxic, 0) <> 0 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad
+            FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ),
+        per_host AS (
+            SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM parsed LEFT JOIN outcomes USING (page_id) GROUP BY host
+        ),
+        bare AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') AS b FROM per_host),
+        named AS (
+            SELECT host, n, bad, coalesce(nullif(regexp_extract(b, '([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z][a-z]|[^.]+))$', 1), ''), b) AS domain
+            FROM bare
+        ),
+        hosts AS (SELECT *, regexp_replace(domain, '(?s)^[^.]*\.?', '') AS suffix FROM named),
+        domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY domain, suffix),
+        suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY suffix),
+        ws AS ({_LEVEL.format(units="suffixes")}), wd AS ({_LEVEL.format(units="domains")}), wh AS ({_LEVEL.format(units="hosts")}),
+        s AS (SELECT suffix, (bad + ws.w * ws.mean) / (n + ws.w) AS rate FROM suffixes, ws),
+        d AS (SELECT domain, (x.bad + wd.w * s.rate) / (x.n + wd.w) AS rate FROM domains x JOIN s USING (suffix), wd),
+        h AS (SELECT host, n, wh.w AS w, (x.bad + wh.w * d.rate) / (x.n + wh.w) AS rate FROM hosts x JOIN d USING (domain), wh),
+        judged AS (SELECT host, CASE WHEN rate - sqrt(rate * (1 - rate) / (n + w + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS reputation FROM h),
+        ruled AS (
+            SELECT page_id, host, path, reputation,
+                   CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+            FROM parsed JOIN judged USING (host)
+        )
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE reputation END AS verdict
+        FROM ruled
+    """,
     "op7_block_naming": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
