@@ -151,40 +151,36 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the listed blocks of each document: its block, place and word hash."""
     for batch in batches:
         rows = batch.to_pydict()
-        out: list[list[np.ndarray]] = [[] for _ in range(7)]
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
         for doc_id, text, blocks in zip(rows["doc_id"], rows["text"], rows["blocks"]):
             rolling = Rolling(word_codes(split_words(text)), _BASES[1])
-            start, cnt, off, a, c = (np.array([b[f] for b in blocks], np.int64) for f in ("start", "cnt", "off", "a", "c"))
+            start, cnt, off, a, kid = (np.array([b[f] for b in blocks], np.int64) for f in ("start", "cnt", "off", "a", "kid"))
             of = np.repeat(np.arange(len(blocks)), cnt)
             t = np.arange(len(of)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
             s = start[of] + t
-            code = rolling.range(s, s + WINDOW).view(np.int64)
-            for held, x in zip(out, (np.full(len(of), doc_id), a[of], c[of], off[of], cnt[of], t, code)):
+            with np.errstate(over="ignore"):  # the anchor's place in the window is part of its identity
+                code = rolling.range(s, s + WINDOW) + (off[of] - t).astype(np.uint64) * np.uint64(_BASES[0])
+            for held, x in zip(out, (kid[of], t.astype(np.int32), a[of], code.view(np.int64), np.full(len(of), doc_id))):
                 held.append(x)
         if out[0]:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in out], ["doc_id", "a", "c", "off", "cnt", "t", "code"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["kid", "t", "a", "code", "doc_id"])
 
 
 def factors(n_words: int, doc_id: int, matches: list[dict]) -> list[tuple[int, int, int]]:
     """Greedy parse: factors ``(first word, words, source document)`` in text order.
 
-    ``matches`` has the document's blocks with, for each window found in an earlier document, that
-    document: ``source`` for the whole block, or ``windows`` of ``(t, source)``.
+    ``matches`` has the document's blocks: ``source`` is the first document with the same block, and
+    ``windows`` of ``(t, source)`` are those windows that stand in an even earlier document.
     """
     source = np.full(max(0, n_words - WINDOW + 1), -1, np.int64)
     hit = np.zeros(len(source), bool)
     for m in matches:
-        if m["windows"] is None:
-            if m["source"] < doc_id:
-                source[m["start"] : m["start"] + m["cnt"]] = m["source"]
-                hit[m["start"] : m["start"] + m["cnt"]] = True
-        else:
-            for w in m["windows"]:
-                if w["source"] < doc_id:
-                    source[m["start"] + w["t"]] = w["source"]
-                    hit[m["start"] + w["t"]] = True
+        if m["source"] < doc_id:
+            source[m["start"] : m["start"] + m["cnt"]] = m["source"]
+            hit[m["start"] : m["start"] + m["cnt"]] = True
+        for w in m["windows"] or ():
+            source[m["start"] + w["t"]] = w["source"]
+            hit[m["start"] + w["t"]] = True
     at = np.flatnonzero(hit)
     if not len(at):
         return []
@@ -244,9 +240,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = materialize(spots.join(anchors, "a"))
     block = ["a", "c", "off", "cnt"]
     kinds = materialize(
-        held.groupBy(*block).agg(
-            F.min(F.struct("doc_id", "tkey", "start")).alias("first"), F.max("doc_id").alias("last")
-        )
+        held.groupBy(*block)
+        .agg(F.min(F.struct("doc_id", "tkey", "start")).alias("first"), F.max("doc_id").alias("last"))
+        .withColumn("kid", F.monotonically_increasing_id())
     )
     mixed = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
     wanted = held.select("doc_id", "tkey").distinct()
@@ -254,33 +250,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     expand = (
         kinds.join(mixed, "a")
-        .select("first.doc_id", "first.tkey", F.struct("first.start", "cnt", "off", "a", "c").alias("b"))
+        .select("first.doc_id", "first.tkey", F.struct("first.start", "cnt", "off", "a", "kid").alias("b"))
         .groupBy("doc_id", "tkey")
         .agg(F.collect_list("b").alias("blocks"))
     )
     windows = materialize(
         texts.join(expand, ["doc_id", "tkey"])
         .select("doc_id", "text", "blocks")
-        .mapInArrow(_window_rows, "doc_id long, a long, c long, off long, cnt long, t long, code long")
+        .mapInArrow(_window_rows, "kid long, t int, a long, code long, doc_id long")
     )
-    place = ["a", "x", "code"]
-    placed = windows.withColumn("x", F.col("off") - F.col("t"))
-    sources = placed.groupBy(*place).agg(F.min("doc_id").alias("source"))
-    inside = (
-        placed.select(*block, "t", "x", "code").distinct()
-        .join(sources, place)
-        .groupBy(*block)
+    sources = windows.groupBy("a", "code").agg(F.min("doc_id").alias("source"))
+    earlier = (
+        windows.join(sources, ["a", "code"])
+        .where("source < doc_id")
+        .groupBy("kid")
         .agg(F.collect_list(F.struct("t", "source")).alias("windows"))
     )
     judged = (
-        kinds.select(*block, F.col("first.doc_id").alias("source"))
-        .join(inside, block, "left")
-        .where(F.col("windows").isNotNull() | F.col("source").isNotNull())
+        kinds.select(*block, "kid", "last", F.col("first.doc_id").alias("source"))
+        .join(earlier, "kid", "left")
+        .where("source < last OR windows IS NOT NULL")
+        .select(*block, "source", "windows")
     )
     matches = (
         held.join(judged, block)
-        .withColumn("windows", F.filter("windows", lambda w: w.source < F.col("doc_id")))
-        .where(F.when(F.col("windows").isNull(), F.col("source") < F.col("doc_id")).otherwise(F.size("windows") > 0))
+        .where("source < doc_id OR windows IS NOT NULL")
         .groupBy("doc_id", "tkey")
         .agg(F.collect_set(F.struct("start", "cnt", "source", "windows")).alias("matches"))
     )
