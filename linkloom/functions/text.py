@@ -13,7 +13,7 @@ PUNCTUATION = r"[^\p{L}\p{N}_\s\p{Z}\x0B\x1C-\x1F\x85]"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 WORD_RUN = r"[\p{L}\p{N}_]+"
 DIGITS_ONLY = r"^\p{Nd}+$"
-NULL_MARKS = r"^(n/a|\s+)$"
+NULL_MARKS = r"^(n/a|[\s\p{Z}\x0B\x1C-\x1F\x85]+)$"
 MISSING_VALUES = ("", "0", " ", "None")
 TITLE_MARK = "TITLE: "
 TEXT_MARK = "TEXT: "
@@ -133,3 +133,13 @@ def experiment_name(parts: Sequence[Column]) -> Column:
 def day_stamp() -> Column:
     """Today as dd-MM-yy."""
     return F.date_format(F.current_date(), "dd-MM-yy")
+
+
+def interleave(first: Column, second: Column) -> Column:
+    """``a1, b1, a2, b2, ...`` of two lists; what one list lacks is left out."""
+    longest = F.greatest(F.array_size(first), F.array_size(second))
+    at = F.sequence(F.lit(1), longest)
+    return F.filter(
+        F.flatten(F.transform(at, lambda i: F.array(F.try_element_at(first, i), F.try_element_at(second, i)))),
+        lambda x: x.isNotNull(),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from linkloom.runtime import cut
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
-SAMPLE_BUCKETS = 4096
+_EDGE_ROWS = 1_000_000  # rows that one task sorts when an exact sample is cut
 
 
 def with_global_index(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -80,11 +81,13 @@ def tag_exact_fraction(
 ) -> DataFrame:
     """Tag exactly ``bround(fraction * n)`` rows as ``inside``, chosen by seeded hash order.
 
-    The first hash characters split the rows into a fixed number of buckets.  Running bucket counts
-    locate the one bucket in which the boundary falls; only its rows are sorted.  The rest
-    are decided by their bucket alone, so no global sort, no driver-side list and no random split.
+    The first hash characters split the rows into buckets, more of them the more rows there are.
+    Running bucket counts locate the one bucket in which the boundary falls; only its rows are
+    sorted.  The rest are decided by their bucket alone, so no global sort, no driver-side list and
+    no random split.
     """
-    hashed = df.withColumn("_h", seeded_hash(seed, *ids)).withColumn("_b", F.substring("_h", 1, 3))
+    prefix = max(3, math.ceil(math.log(max(1, df.count()) / _EDGE_ROWS, 16)))
+    hashed = df.withColumn("_h", seeded_hash(seed, *ids)).withColumn("_b", F.substring("_h", 1, prefix))
     counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy()

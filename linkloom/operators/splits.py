@@ -13,6 +13,12 @@ def split_links(links: DataFrame, fraction: float = 0.7, seed: int = 42) -> Data
     return tag_exact_fraction(links.select("web_id", "pmid"), ["web_id", "pmid"], fraction, seed)
 
 
+def write_tags(links: DataFrame, tagged: DataFrame) -> DataFrame:
+    """``links`` with ``train_test`` taken from ``tagged``; links that were not split keep NULL."""
+    tags = tagged.select("web_id", "pmid", "train_test")
+    return links.drop("train_test").join(tags, ["web_id", "pmid"], "left").select(*links.columns)
+
+
 def split_corpus(corpus: DataFrame, tagged: DataFrame) -> DataFrame:
     """Add ``split``: documents of a train link are Train, all others Test.
 

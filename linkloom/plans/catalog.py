@@ -20,7 +20,7 @@ from linkloom.operators import (
     splits,
 )
 from linkloom.operators import nearduplicates as near
-from linkloom.plans import experiment, grid, oracle
+from linkloom.plans import experiment, grid, oracle, pipeline
 from linkloom.plans import standins as S
 from linkloom.runtime import materialize, pinned
 
@@ -487,6 +487,58 @@ def recall_at_n(spark, sf_dir):
     return evaluate.recall_at_n(ranks)
 
 
+# The whole way from raw tables
+
+
+def _final(spark, sf_dir):
+    return pipeline.final_corpora(S.raw_articles(spark, sf_dir), S.raw_pages(spark, sf_dir))
+
+
+@register("pipeline_final_links", f"WITH {oracle.FINAL} SELECT web_id, pmid, train_test FROM tagged")
+def pipeline_final_links(spark, sf_dir):
+    return pipeline.tagged_links(_final(spark, sf_dir))
+
+
+@register(
+    "pipeline_final_articles",
+    f"""WITH {oracle.FINAL} SELECT pmid, web_id, md5(corpus_text) AS text_md5 FROM pm_clean LEFT JOIN links USING (pmid)""",
+)
+def pipeline_final_articles(spark, sf_dir):
+    return _final(spark, sf_dir).articles.select("pmid", "web_id", F.md5("corpus_text").alias("text_md5"))
+
+
+@register("pipeline_measures", f"WITH {oracle.FINAL_RANKS} {oracle.measures('ranks')}")
+def pipeline_measures(spark, sf_dir):
+    return pipeline.measures(_final(spark, sf_dir))
+
+
+# Links that lack an end
+
+
+def _open_edges(spark, sf_dir):
+    """Edges of which every seventh length has no url and every eleventh no article."""
+    whole = F.floor("len").cast("long")
+    edges = S.edges(spark, sf_dir).select(
+        F.when(whole % 11 != 0, F.col("pmid")).alias("pmid"), F.when(whole % 7 != 0, F.col("url")).alias("url"), "len", "row_id"
+    )
+    return duplicates.with_link_counts(edges, "row_id")
+
+
+@register(
+    "buckets_of_open_links",
+    f"""WITH {oracle.OPEN_EDGES}
+SELECT CASE WHEN pmid_count = 1 THEN '1' ELSE 'n' END || ':' || CASE WHEN url_count = 1 THEN '1' ELSE 'n' END AS bucket,
+  count(*) AS n_links FROM counted WHERE pmid IS NOT NULL AND url IS NOT NULL GROUP BY 1""",
+)
+def buckets_of_open_links(spark, sf_dir):
+    return links.bucket_counts(_open_edges(spark, sf_dir))
+
+
+@register("cascade_of_open_links", f"WITH {oracle.OPEN_CASCADE}")
+def cascade_of_open_links(spark, sf_dir):
+    return links.one_to_one_cascade(_open_edges(spark, sf_dir))
+
+
 # Experiments
 
 

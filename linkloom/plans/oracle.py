@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from linkloom.functions import text as T
-
-_SPACE = T.WHITESPACE
+# Fixed values, written out here so that a mistake in the library's own patterns shows.
+_SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x85]+"
+_PUNCTUATION = r"[^\p{L}\p{N}_\s\p{Z}\x0B\x1C-\x1F\x85]"
+_TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_]+"
+_WORD_RUN = r"[\p{L}\p{N}_]+"
+_FREQUENT = {
+    "en": "the and of to in is that it for was with as are on be at by this or",
+    "fr": "le la les des et un une que qui pour par du est dans en de elle",
+    "de": "der die das und ist nicht ein eine mit auf für von den zu es sie auch",
+    "es": "el los las y una por con para se del al como lo su que de la en es un",
+}
 
 
 def ws(x: str) -> str:
@@ -29,8 +37,7 @@ corpus AS (
 ),
 links AS (SELECT doc_id AS web_id, doc_id AS pmid FROM d WHERE n >= 100)"""
 
-SPLIT = f"""{CORPUS},
-tagged AS (
+_SPLIT = """tagged AS (
   SELECT web_id, pmid,
     CASE WHEN row_number() OVER (ORDER BY md5('42:' || web_id || ':' || pmid), web_id, pmid)
               <= round_even(0.7::DOUBLE * count(*) OVER (), 0) THEN 'Train' ELSE 'Test' END AS train_test
@@ -44,8 +51,9 @@ split_corpus AS (
   FROM corpus
 )"""
 
-TERMS = f"""{SPLIT},
-toks AS (SELECT side, split, id, unnest(regexp_extract_all(lower(txt), '{T.TOKEN}')) AS term FROM split_corpus),
+SPLIT = f"{CORPUS},\n{_SPLIT}"
+
+_TERMS = f"""toks AS (SELECT side, split, id, unnest(regexp_extract_all(lower(txt), '{_TOKEN}')) AS term FROM split_corpus),
 tf AS (SELECT side, split, id, term, count(*) AS tf FROM toks GROUP BY ALL),
 dfs AS (
   SELECT term, count(*) FILTER (side = 'web') AS web_df, count(*) FILTER (side = 'pm') AS pm_df, count(*) AS df
@@ -57,6 +65,8 @@ vocab AS (
   WHERE web_df > 0 AND pm_df > 0 AND NOT regexp_full_match(term, '\\p{{Nd}}+')
 )"""
 
+TERMS = f"{SPLIT},\n{_TERMS}"
+
 WEIGHTS = {
     "Binary": "1.0::DOUBLE",
     "TF": "tf::DOUBLE",
@@ -126,7 +136,7 @@ RAW_PAGES = f"""web_raw AS (
   UNION ALL {_copy(4, 1, "ws || ['added', 'line']", "source || '/c4/' || doc_id")}
 )"""
 
-_NULLED = "CASE WHEN regexp_matches({0}, '" + T.NULL_MARKS + "') THEN NULL ELSE {0} END"
+_NULLED = "CASE WHEN {0} = 'n/a' OR ({0} <> '' AND regexp_replace({0}, '" + _SPACE.replace("{", "{{").replace("}", "}}") + "', '', 'g') = '') THEN NULL ELSE {0} END"
 
 ARTICLES = f"""{RAW_ARTICLES},
 pm_text AS (
@@ -138,16 +148,16 @@ pm_clean AS (SELECT * FROM pm_text WHERE text_length >= 100)"""
 
 
 def _hits(lang: str) -> str:
-    listed = ", ".join(f"'{w}'" for w in T.LANGUAGE_PROFILES[lang].split())
+    listed = ", ".join(f"'{w}'" for w in _FREQUENT[lang].split())
     return f"len(list_filter(opening, lambda w: list_contains([{listed}], w))) AS {lang}"
 
 
 def language(source: str, text: str, out: str) -> str:
     """CTE ``out``: ``source`` with column ``lang_found``."""
-    langs = list(T.LANGUAGE_PROFILES)
+    langs = list(_FREQUENT)
     best = f"greatest({', '.join(langs)})"
     cases = " ".join(f"WHEN {x} = {best} THEN '{x}'" for x in langs)
-    return f"""{out}_open AS (SELECT *, regexp_extract_all(lower({text}), '{T.WORD_RUN}')[1:30] AS opening FROM {source}),
+    return f"""{out}_open AS (SELECT *, regexp_extract_all(lower({text}), '{_WORD_RUN}')[1:30] AS opening FROM {source}),
 {out}_hits AS (SELECT *, {", ".join(_hits(x) for x in langs)} FROM {out}_open),
 {out} AS (SELECT *, CASE WHEN {best} = 0 THEN NULL {cases} END AS lang_found FROM {out}_hits)"""
 
@@ -187,7 +197,7 @@ def near_pairs(denominator: str) -> str:
     """CTEs up to ``pairs(gid, id_1, id_2, lcs, pct)`` by gaps and islands over equal words."""
     pick = "least" if denominator == "min" else "greatest"
     forward_only = "AND FALSE" if denominator == "max" else ""
-    bare = ws(f"lower(regexp_replace(corpus_text, '{T.PUNCTUATION}', '', 'g'))")
+    bare = ws(f"lower(regexp_replace(corpus_text, '{_PUNCTUATION}', '', 'g'))")
     return f"""{DEDUPED},
 bare AS (SELECT pmid AS gid, web_id AS id, length(corpus_text) AS l, {bare} AS w FROM deduped),
 pos AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM bare),
@@ -222,17 +232,32 @@ surviving AS (
   WHERE web_id NOT IN (SELECT web_id FROM members) OR web_id IN (SELECT web_id FROM kept)
 )"""
 
-EDGES = """edges AS (
+EDGE_ROWS = """edges AS (
   SELECT l_orderkey AS pmid, l_partkey || '/' || l_suppkey AS url, l_extendedprice AS len,
     lpad(l_orderkey::VARCHAR, 12, '0') || '-' || lpad(l_linenumber::VARCHAR, 4, '0') || '-'
       || lpad(l_partkey::VARCHAR, 12, '0') || '-'
       || lpad(round(l_extendedprice * 100)::BIGINT::VARCHAR, 14, '0') AS row_id
   FROM lineitem
-),
+)"""
+
+EDGES = f"""{EDGE_ROWS},
 counted AS (
   SELECT *, count(*) OVER (PARTITION BY pmid) AS pmid_count, count(*) OVER (PARTITION BY url) AS url_count FROM edges
 )"""
 
+# Every seventh length without a url, every eleventh without an article.
+OPEN_EDGES = f"""{EDGE_ROWS},
+holes AS (
+  SELECT CASE WHEN floor(len)::BIGINT % 11 <> 0 THEN pmid END AS pmid,
+    CASE WHEN floor(len)::BIGINT % 7 <> 0 THEN url END AS url, len, row_id
+  FROM edges
+),
+counted AS (
+  SELECT *, CASE WHEN pmid IS NOT NULL THEN count(*) OVER (PARTITION BY pmid) END AS pmid_count,
+    CASE WHEN url IS NOT NULL THEN count(*) OVER (PARTITION BY url) END AS url_count
+  FROM holes
+)"""
+
 
 def free(where: str, taken: str | None) -> str:
     rest = (
@@ -277,10 +302,34 @@ matched AS (
 )"""
 
 
-CASCADE = f"""RECURSIVE {EDGES},
+def cascade(source: str) -> str:
+    """CTEs from ``counted`` (in ``source``) up to the chosen links ``t3`` and ``matched``."""
+    return f"""{source},
 c1 AS ({free(ONE_ONE, None)}),
 t1 AS (SELECT pmid, url, row_id FROM c1),
 t2 AS (SELECT * FROM t1 UNION ALL {first_per_url(ONE_MANY, "t1")}),
 t3 AS (SELECT * FROM t2 UNION ALL {longest_per_article(MANY_ONE, "t2")}),
-{greedy(MANY_MANY, "t3")}
+{greedy(MANY_MANY, "t3")}"""
+
+
+CASCADE = f"""RECURSIVE {cascade(EDGES)}
 SELECT * FROM t3 UNION ALL SELECT * FROM matched"""
+
+OPEN_CASCADE = f"""RECURSIVE {cascade(OPEN_EDGES)}
+SELECT * FROM t3 UNION ALL SELECT * FROM matched"""
+
+_COUNTED_PAGES = """counted AS (
+  SELECT pmid, url, text_length AS len, web_id AS row_id, pmid_count, url_count FROM surviving
+)"""
+
+FINAL = f"""RECURSIVE {cascade(f"{SURVIVORS}, {_COUNTED_PAGES}")},
+links AS (SELECT row_id AS web_id, pmid FROM t3 UNION ALL SELECT row_id, pmid FROM matched),
+corpus AS (
+  SELECT 'web' AS side, web_id AS id, corpus_text AS txt FROM surviving WHERE web_id IN (SELECT web_id FROM links)
+  UNION ALL SELECT 'pm', pmid, corpus_text FROM pm_clean
+),
+{_SPLIT}"""
+
+FINAL_RANKS = f"""{FINAL},
+{_TERMS},
+{rank_ctes("TF-IDF")}"""

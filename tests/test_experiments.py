@@ -163,7 +163,7 @@ def test_svd_matches_numpy(spark):
     cells = [(int(i), int(j)) for i, j in zip(*np.nonzero(dense))]
     rows = [("web" if i < 20 else "pm", "Test", i, j, float(dense[i, j])) for i, j in cells]
     matrix = materialize(spark.createDataFrame(rows, "side string, split string, id long, term_id long, weight double"))
-    model = svd.truncated_svd(matrix, 4, tolerance=1e-10, max_sweeps=20)
+    model = svd.truncated_svd(matrix, 4, tolerance=1e-10)
     u, s, vt = np.linalg.svd(dense, full_matrices=False)
     assert model.singular_values == pytest.approx(s[:4], abs=1e-8)
     corpus = spark.createDataFrame([("pm", "Test", 99)], "side string, split string, id long").unionByName(
