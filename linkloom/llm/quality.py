@@ -3,7 +3,7 @@
 Two generative models of a document's set of hashed n-grams are fitted by grouped aggregation: the
 raw one on all documents, the target one on documents labelled as good, ``TARGET_SAMPLE`` at most.
 The raw corpus contains the target, so no n-gram can be much likelier in the target, and ratios above
-one are taken as one.  Below one, an n-gram's log ratio is kept where the target has it at a quarter
+one are taken as one.  Below one, an n-gram's log ratio is kept where the target has it at a tenth
 of the raw rate or less and its count falls short by more than chance allows; else it is zero, so a
 long clean text, or one in a rare language, does not gather noise.  A document's log weight is the
 sum over its n-grams.  Documents are sampled without replacement by Gumbel top-k: the k largest of
@@ -37,7 +37,7 @@ ENTRIES = 2 * SIZE + REPEAT_STEPS + 1
 SIGNIFICANCE = 5.0
 PSEUDO_COUNT = 0.5
 #: ... and when the target has the n-gram at most at this share of the raw rate.
-DEPLETED = 0.25
+DEPLETED = 0.1
 #: Power of the importance weights; noise then decides between near-equal documents only.
 SHARPNESS = 4.0
 SEED = 8
