@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from linkloom import runtime
 from linkloom.plans import catalog
 
 HEADLINE = (
@@ -52,6 +53,7 @@ def main() -> None:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        runtime.release(spark)
     spark.stop()
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))

@@ -328,7 +328,7 @@ def near_dup_pairs_max(spark, sf_dir):
 @register("near_dup_all_documents")
 def near_dup_all_documents(spark, sf_dir):
     docs = S.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("corpus_text"))
-    return near.near_duplicate_pairs(docs, "doc_id", group=None, denominator="max")
+    return _rounded(near.near_duplicate_pairs(docs, "doc_id", group=None, denominator="max"))
 
 
 @register(

@@ -198,11 +198,17 @@ def near_pairs(denominator: str) -> str:
     pick = "least" if denominator == "min" else "greatest"
     forward_only = "AND FALSE" if denominator == "max" else ""
     bare = ws(f"lower(regexp_replace(corpus_text, '{_PUNCTUATION}', '', 'g'))")
-    return f"""{DEDUPED},
-bare AS (SELECT pmid AS gid, web_id AS id, length(corpus_text) AS l, {bare} AS w FROM deduped),
+    texts = f"{DEDUPED}, bare AS (SELECT pmid AS gid, web_id AS id, length(corpus_text) AS l, {bare} AS w FROM deduped)"
+    pairs = "pr AS (SELECT a.gid, a.id AS a, b.id AS b FROM bare a JOIN bare b ON a.gid = b.gid AND a.id < b.id)"
+    return f"""{texts},
 pos AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM bare),
-pr AS (SELECT a.gid, a.id AS a, b.id AS b FROM bare a JOIN bare b ON a.gid = b.gid AND a.id < b.id),
-same AS (SELECT a, b, x.i AS i, y.i AS j FROM pr JOIN pos x ON x.id = a JOIN pos y ON y.id = b AND y.word = x.word),
+{pairs},
+{_runs(pick, forward_only)}"""
+
+
+def _runs(pick: str, forward_only: str) -> str:
+    """CTEs from ``bare``, ``pos`` and ``pr`` to ``pairs``."""
+    return f"""same AS (SELECT a, b, x.i AS i, y.i AS j FROM pr JOIN pos x ON x.id = a JOIN pos y ON y.id = b AND y.word = x.word),
 isl AS (SELECT a, b, i, j, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS g FROM same),
 runs AS (SELECT a, b, count(*) AS n, min(i) AS i, min(j) AS j FROM isl GROUP BY a, b, i - j, g),
 fwd AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY n DESC, i, j) = 1),
@@ -221,6 +227,33 @@ pairs AS (
 )"""
 
 
+def _all_pairs() -> str:
+    """``pairs`` over all documents: a run over half of a text lies across the text's middle.
+
+    So it holds three consecutive words near the middle of both texts, or it has at most two words,
+    one of which makes up about a quarter of the text.
+    """
+    bare = ws(f"lower(regexp_replace(text, '{_PUNCTUATION}', '', 'g'))")
+    return f"""bare AS (SELECT 0 AS gid, doc_id AS id, length(text) AS l, {bare} AS w FROM documents),
+pos AS (SELECT id, l, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM bare),
+grown AS (
+  SELECT id, i, sum(length(word) + 1) OVER (PARTITION BY id ORDER BY i) AS c, sum(length(word) + 1) OVER (PARTITION BY id) AS t FROM pos
+),
+middle AS (SELECT id, min(i) AS m FROM grown WHERE c * 2 >= t GROUP BY id),
+three AS (SELECT id, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS g FROM pos WINDOW o AS (PARTITION BY id ORDER BY i)),
+anchor AS (SELECT id, g FROM three JOIN middle USING (id) WHERE g IS NOT NULL AND i BETWEEN m - 3 AND m + 1),
+big AS (SELECT DISTINCT id, word FROM pos WHERE length(word) * 4 + 8 >= l),
+pr AS (
+  SELECT 0 AS gid, a.id AS a, b.id AS b FROM anchor a JOIN three b USING (g) WHERE a.id < b.id
+  UNION SELECT 0, b.id, a.id FROM anchor a JOIN three b USING (g) WHERE b.id < a.id
+  UNION SELECT 0, a.id, b.id FROM big a JOIN big b USING (word) WHERE a.id < b.id
+),
+{_runs("greatest", "AND FALSE")}"""
+
+
+ALL_PAIRS = _all_pairs()
+
+
 SURVIVORS = f"""{near_pairs("min")},
 members AS (SELECT gid, id_1 AS web_id FROM pairs UNION SELECT gid, id_2 FROM pairs),
 kept AS (

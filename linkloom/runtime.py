@@ -47,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_written: list[str] = []
+_written: dict[str, list[str]] = {}  # by application, so one session never deletes another's tables
 
 
 def release(spark: SparkSession) -> int:
@@ -56,9 +56,9 @@ def release(spark: SparkSession) -> int:
     Returns how many were deleted.  Frames that still read them stop working.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    n = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    n, own = 0, _written.pop(spark.sparkContext.applicationId, [])
+    while own:
+        path = jvm.org.apache.hadoop.fs.Path(own.pop())
         n += path.getFileSystem(conf).delete(path, True)
     return n
 
@@ -75,5 +75,5 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _written.append(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -102,7 +102,7 @@ def test_checkpoint_root_is_reused(spark):
 def test_release_deletes_only_written_tables(spark, monkeypatch):
     from linkloom import runtime
 
-    monkeypatch.setattr(runtime, "_written", [])
+    monkeypatch.setattr(runtime, "_written", {})
     kept = runtime.materialize(spark.range(3))
     runtime._written.clear()
     gone = runtime.materialize(spark.range(4))
