@@ -51,3 +51,34 @@ def test_unsettled_raises(spark):
     a = np.random.default_rng(1).normal(size=(60, 50))
     with pytest.raises(RuntimeError):
         svd.truncated_svd(as_rows(spark, a), 5, margin=1, max_sweeps=2)
+
+
+def test_fit_now_transform_later(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    a, b = rng.random((30, 12)), rng.random((7, 14)) * (rng.random((7, 14)) < 0.5)
+    svd.save(svd.truncated_svd(as_rows(spark, a), 3), str(tmp_path / "model"))
+    model = svd.load(spark, str(tmp_path / "model"))
+    v = np.zeros((14, 3))
+    for r in model.basis.collect():
+        v[r.term_id] = r.v
+    got = {r.id: r.vec for r in svd.transform(as_rows(spark, b), model).collect()}
+    want = b @ v
+    assert all(np.allclose(got.get(i, np.zeros(3)), want[i]) for i in range(len(b)))
+    assert np.allclose(model.singular_values, np.linalg.svd(a, compute_uv=False)[:3])
+
+
+def test_stored_experiments_add_up(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from linkloom.plans import grid
+
+    def run(feature, size, ranks):
+        rows = spark.createDataFrame([(i, i, r) for i, r in enumerate(ranks)], "web_id long, pmid long, rank long")
+        values = {"feature": feature, "reduction": grid.TSVD, "min_df": 2, "max_df": 1.0, "tsvd": size, "cca": False, "cca_k": 0}
+        return rows.withColumns({k: F.lit(v) for k, v in values.items()})
+
+    path = str(tmp_path / "grid")
+    first = grid.store(run("TF", 100, [1, 2, 9]).unionByName(run("TF", 200, [1, 1, 3])), path).collect()
+    assert {(r.tsvd, r.median) for r in first} == {(100, 2.0), (200, 1.0)}
+    second = grid.store(run("Binary", 100, [4]), path).collect()
+    assert {(r.feature, r.tsvd, r.n_links, r.median) for r in second} == {("TF", 100, 3, 2.0), ("TF", 200, 3, 1.0), ("Binary", 100, 1, 4.0)}
