@@ -234,7 +234,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
     )
     spots = base.select("doc_id", "tkey", F.inline("blocks"))
-    anchors = (
+    # Tables with one row per key are written before they are joined: the sides of such a join are
+    # plain shuffles then, and Spark splits the partitions of a hot key.
+    anchors = materialize(
         spots.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a")
     )
     held = materialize(spots.join(anchors, "a"))
@@ -244,7 +246,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.min(F.struct("doc_id", "tkey", "start")).alias("first"), F.max("doc_id").alias("last"))
         .withColumn("kid", F.monotonically_increasing_id())
     )
-    mixed = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
+    mixed = materialize(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a"))
     wanted = held.select("doc_id", "tkey").distinct()
     texts = materialize(slim.join(wanted, ["doc_id", "tkey"]))
 
@@ -259,7 +261,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("doc_id", "text", "blocks")
         .mapInArrow(_window_rows, "kid long, t int, a long, code long, doc_id long")
     )
-    sources = windows.groupBy("a", "code").agg(F.min("doc_id").alias("source"))
+    sources = materialize(
+        windows.groupBy("a", "code").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    )
     earlier = (
         windows.join(sources, ["a", "code"])
         .where("source < doc_id")
