@@ -30,7 +30,6 @@ PART = "kind: string, text: string, ref: string, width: int, height: int, second
 #: Tokens that attachments expand to: patches of an image, frames of a second, a page.
 PATCH, FRAMES, PAGE_TOKENS = 28, 25, 1024
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_MARK = re.compile(r"(?<!\\)(?:\\\\)*<")
 
 
 def escaped(text: Column) -> Column:
