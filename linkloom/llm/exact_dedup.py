@@ -75,7 +75,9 @@ def name_documents(
     )
     pieces = cut.select("rid", F.posexplode("blocks").alias("idx", "block")).withColumn("code", code(F.col("block")))
     names = materialize(_numbered(pieces.groupBy("code", "block").agg(F.lit(1)), "code", "block").select("code", "name"))
-    per_code = names.groupBy("code").agg(F.count(F.lit(1)).alias("k"), F.min("name").alias("name"))
+    # One row per key, written before it is joined: both sides of the join are plain shuffles then,
+    # and Spark splits the partition of a block or a name that a large share of documents has.
+    per_code = materialize(names.groupBy("code").agg(F.count(F.lit(1)).alias("k"), F.min("name").alias("name")))
     shared = per_code.where("k > 1").select("code")
     spots = heads.select("rid", "n", F.posexplode("codes").alias("idx", "code"))
     plain = spots.join(per_code.where("k = 1").select("code", "name"), "code").select("rid", "n", "idx", "name")
@@ -117,7 +119,7 @@ def name_documents(
         root = root.unionByName(more)
     known = materialize(heads.select("rid", "doc_id", "n", "text_sha256").join(root, "rid"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))
-    groups = known.groupBy("n", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(known.groupBy("n", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")))
     judged = known.join(groups, ["n", "name"]).select(
         "rid",
         "doc_id",
