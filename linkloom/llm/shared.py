@@ -29,9 +29,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     The component is the smallest node.  Nodes without an edge to another node get no row.  Each
     round hangs the larger neighbours of a node, then its smaller ones, under its smallest
-    neighbour; a long chain folds up in logarithmically many rounds.  A round is written to the
-    shared folder, and the driver sees one count and one checksum of it.  The rounds end when a
-    round changes nothing.
+    neighbour; a long chain folds up in logarithmically many rounds.  Rounds, and the smallest
+    neighbours that a hot node's many edges are joined with, are written to the shared folder; the
+    driver sees one count and one checksum of a round.  The rounds end when one changes nothing.
     """
     current = materialize(
         edges.where(F.col("u") != F.col("v"))
@@ -41,14 +41,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _fingerprint(current)
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = (
             both.join(low, "u")
             .where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large)
+        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(down, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
