@@ -565,15 +565,20 @@ def experiment_results(spark, sf_dir):
     return grid.results(grid.run_ranks(prepared, plan))
 
 
+#: The reference's component counts: non-cca_analysis_pipeline.py, cca_analysis_pipeline.py.
+SVD_SIZES = [100, 200, 400, 600, 800, 1600]
+SVD_SIZES_OF_CCA, CCA_SIZES = [100, 200, 400, 800, 1600], [50, 100, 200, 400, 800]
+
+
 @register("svd_rank_measures")
 def svd_rank_measures(spark, sf_dir):
     prepared = _prepared(spark, sf_dir)
-    plan = grid.experiment_grid(spark, ["TF-IDF"], [2], [0.85], [10, 20]).where(F.col("reduction") == grid.TSVD)
+    plan = grid.experiment_grid(spark, features.METHODS, [2], [0.85], SVD_SIZES).where(F.col("reduction") == grid.TSVD)
     return grid.results(grid.run_ranks(prepared, plan))
 
 
 @register("cca_rank_measures")
 def cca_rank_measures(spark, sf_dir):
     prepared = _prepared(spark, sf_dir)
-    plan = grid.experiment_grid(spark, ["TF-IDF"], [2], [1.0], [10, 20], [5, 10, 20])
+    plan = grid.experiment_grid(spark, ["TF-IDF"], [2], [1.0], SVD_SIZES_OF_CCA, CCA_SIZES)
     return grid.results(grid.run_ranks(prepared, plan))

@@ -1,0 +1,19 @@
+"""The registered reductions run over the reference's grid."""
+
+from linkloom.plans import catalog, grid
+
+
+def registered_grid(spark, monkeypatch, name):
+    plans = []
+    monkeypatch.setattr(catalog, "_prepared", lambda spark, sf_dir: None)
+    monkeypatch.setattr(grid, "run_ranks", lambda prepared, plan: plans.append(plan))
+    monkeypatch.setattr(grid, "results", lambda ranks: ranks)
+    catalog.QUERIES[name](spark, "")
+    return {(r.feature, r.tsvd, r.cca_k) for r in plans[0].collect()}
+
+
+def test_registered_grids_are_the_reference_s(spark, monkeypatch):
+    got = registered_grid(spark, monkeypatch, "svd_rank_measures")
+    assert got == {(f, k, 0) for f in ("Binary", "TF", "TF-IDF") for k in (100, 200, 400, 600, 800, 1600)}
+    got = registered_grid(spark, monkeypatch, "cca_rank_measures")
+    assert got == {("TF-IDF", k, c) for k in (100, 200, 400, 800, 1600) for c in (50, 100, 200, 400, 800) if c <= k}
