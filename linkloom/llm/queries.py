@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkloom.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    hard_negatives,
     language,
     mixing,
+    packing,
     quality,
     simhash,
     substring_dedup,
+    token_alignment,
     token_counts,
     url_reputation,
 )
@@ -81,6 +85,33 @@ def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("factors")
 
 
+def vectors(embeddings: DataFrame) -> DataFrame:
+    """Embeddings as ``hard_negatives.mine`` takes them; every seventh row has the next label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.quantized(embeddings, "vec_id", "embedding", moved)
+
+
+def mine_vectors(embeddings: DataFrame) -> DataFrame:
+    return hard_negatives.mine(vectors(embeddings), F.col("id") % 100 == 0)
+
+
+def op11_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_identity_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    models = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_alignment.align(_table(spark, sf_dir, "documents"), *models)
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_importance_resampling,
         op9_splitting_tree,
         op10_relative_lz,
+        op11_slot_negatives,
+        op12_identity_map,
+        op13_best_fit,
     )
 }
 
@@ -179,6 +213,30 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)
     """,
+    "op11_slot_negatives": """
+        WITH base AS (
+            SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ),
+        scored AS (
+            SELECT a.rid AS arid, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM base a, base b WHERE a.vec_id % 100 = 0
+        ),
+        positives AS (
+            SELECT arid, anchor_id, vec_id AS positive_id, rid AS prid, score AS positive_score FROM scored WHERE same AND rid <> arid
+            QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id, rid) <= 5
+        ),
+        inside AS (
+            SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.arid, p.prid ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+            FROM positives p JOIN scored s ON s.arid = p.arid AND NOT s.same
+            WHERE 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM inside WHERE rank <= 10
+    """,
     "op7_block_naming": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,21 @@ from linkloom.runtime import materialize
 
 #: ASCII blanks as the operators' contracts name them.
 BLANKS = r"\x20\x09-\x0D"
+#: Characters of texts that a task works on at a time.
+GROUP_CHARS = 1 << 21
+
+
+def text_groups(texts: list[str]) -> Iterator[list[int]]:
+    """Positions of ``texts`` in groups of about ``GROUP_CHARS`` characters."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        held.append(i)
+        size += len(text)
+        if size >= GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def shuffle_width(df: DataFrame) -> int:

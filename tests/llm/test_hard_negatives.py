@@ -1,0 +1,123 @@
+"""Hard negatives against a plain loop over all pairs."""
+
+import math
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.llm import hard_negatives, queries
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def plain(rows):
+    """The contract, pair by pair."""
+    base = []
+    for rid, r in enumerate(rows):
+        if None in (r[0], r[1], r[2]) or any(x is None or not math.isfinite(x) for x in r[1]):
+            continue
+        label = (r[2] + 1) % 10 if r[0] % 7 == 0 else r[2]
+        base.append((rid, r[0], [math.floor(256 * x) for x in r[1]], label))
+    out = []
+    for rid, anchor, v, label in base:
+        if anchor % 100:
+            continue
+        scored = [(-sum(x * y for x, y in zip(v, w)), i, other, same) for other, i, w, same in base]
+        best = sorted(s for s in scored if s[3] == label and s[2] != rid)[:5]
+        for down, positive, _, _ in best:
+            inside = sorted((s[0], s[1]) for s in scored if s[3] != label and 30 * -down <= 100 * -s[0] <= 90 * -down)[:10]
+            out += [(anchor, positive, k + 1, i, -down, -d) for k, (d, i) in enumerate(inside)]
+    return sorted(out)
+
+
+def run(spark, rows):
+    return queries.mine_vectors(spark.createDataFrame(rows, SCHEMA))
+
+
+def rows_of(df):
+    return sorted(tuple(r[c] for c in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")) for r in df.collect())
+
+
+def drawn(n, seed, width=6, kinds=6):
+    rng = random.Random(seed)
+    centre = [[rng.gauss(0, 1) for _ in range(width)] for _ in range(kinds)]
+    out = []
+    for i in range(n):
+        k = rng.randrange(kinds)
+        out.append((i, [float(round(c + rng.gauss(0, 0.6), 1)) for c in centre[k]], k))  # rounded: many ties
+    return out
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(hard_negatives, "BLOCK_ANCHORS", 2)
+    monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(hard_negatives, "_PENDING", 50)
+
+
+def exact(rows):
+    import numpy as np
+
+    return [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], k) for i, v, k in rows]
+
+
+def test_against_all_pairs(spark):
+    rows = drawn(900, 1)
+    assert rows_of(run(spark, rows)) == plain(exact(rows)) != []
+
+
+def test_slices_and_blocks_change_nothing(spark, monkeypatch):
+    rows = exact(drawn(700, 2))
+    monkeypatch.setattr(hard_negatives, "SLICE_ANCHORS", 3)
+    data = queries.vectors(spark.createDataFrame(rows, SCHEMA))
+    assert rows_of(hard_negatives.mine(data, F.col("id") % 100 == 0)) == plain(rows)
+
+
+def test_combiner_settles_early(small_blocks):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    best, kept = hard_negatives.Best(4, 3), []
+    for _ in range(30):
+        group, score, ids = rng.integers(0, 4, 40), rng.integers(-5, 5, 40), rng.integers(0, 1000, 40)
+        best.add(group, score, ids, ids)
+        kept += list(zip(group.tolist(), (-score).tolist(), ids.tolist()))
+    got = list(zip(*(x.tolist() for x in best.settle())))
+    want = [x for g in range(4) for x in sorted(k for k in kept if k[0] == g)[:3]]
+    assert [(g, -s, i) for g, s, i, _ in got] == want
+
+
+def test_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = drawn(250, 3)
+    rows += [(300, None, 1), (400, [1.0] * 6, None), (None, [1.0] * 6, 1), (500, [1.0, None] * 3, 1), (600, [nan] * 6, 1), (700, [inf] * 6, 1)]
+    rows += [rows[100], rows[100], rows[150]]  # repeated rows, an anchor among them
+    rows += [(800, [1.0, 2.0], 1), (801, [1.0, 2.0, 0.5], 1), (900, [], 2), (1000, [0.0] * 6, 3)]  # other lengths, no direction
+    assert rows_of(run(spark, rows)) == plain(exact(rows))
+    assert run(spark, []).count() == 0
+    assert run(spark, [(1, [1.0], 1)]).count() == 0
+    assert run(spark, [(100, [1.0], 1), (1, [1.0], 2)]).count() == 0  # no positive
+
+
+def test_large_scores_stay_exact(spark):
+    rows = [(100, [2.0**20, 1.0], 1), (101, [2.0**21, 3.0], 1), (102, [2.0**20, 1.0], 2), (103, [2.0**20, 2.0], 2)]
+    assert rows_of(run(spark, rows)) == plain(rows) != []
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = drawn(250, 4)
+    data = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(c) for c in ("a", "slot", "score", "rid", "id", "v")})
+    assert rows_of(queries.mine_vectors(data)) == plain(exact(rows))
+
+
+def test_sql_on_embeddings(spark):
+    path = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet'")
+    want = con.execute(queries.ORACLES["op11_slot_negatives"]).fetchdf()
+    got = queries.QUERIES["op11_slot_negatives"](spark, path).toPandas()
+    names = sorted(got.columns)
+    assert sorted(want.columns) == names
+    assert sorted(map(tuple, got[names].values.tolist())) == sorted(map(tuple, want[names].values.tolist()))

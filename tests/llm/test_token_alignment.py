@@ -1,0 +1,138 @@
+"""Alignment of ids against a plain walk over the bytes."""
+
+import hashlib
+import json
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.llm import token_alignment
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+BYTE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+AWKWARD = "ab the  ▁\n\t é😀ß thing12.,'s  中文 \x1c<|endoftext|> "
+
+
+class Plain:
+    def __init__(self):
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self.a = Tokenizer.from_file(BYTE)
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+        sign, n = {}, 0
+        for byte in range(256):
+            if 33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte <= 255:
+                sign[chr(byte)] = byte
+            else:
+                sign[chr(256 + n)] = byte
+                n += 1
+        self.of_a = {i: bytes(sign[c] for c in t) for t, i in json.load(open(BYTE))["model"]["vocab"].items()}
+
+    def of_b(self, i):
+        p = self.b.IdToPiece(i)
+        return bytes([int(p[3:5], 16)]) if self.b.IsByte(i) else p.replace("▁", " ").encode()
+
+    def groups(self, text):
+        if not text:
+            return []
+        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        b = self.b.encode(text)
+        raw = (" " + text).encode()
+        if b"".join(self.of_a[i] for i in a) != raw or b"".join(map(self.of_b, b)) != raw:
+            return []
+        ends_a, ends_b, at = [], [], 0
+        for i in a:
+            at += len(self.of_a[i])
+            ends_a.append(at)
+        at = 0
+        for i in b:
+            at += len(self.of_b(i))
+            ends_b.append(at)
+        out, before = [], 0
+        for end in sorted(set(ends_a) & set(ends_b)):
+            out.append(([i for i, e in zip(a, ends_a) if before < e <= end], [i for i, e in zip(b, ends_b) if before < e <= end]))
+            before = end
+        return out
+
+    def rows(self, docs):
+        grouped = [(d, self.groups(t)) for d, t in docs]
+        links = [Counter((x, y) for a, b in g for x in a for y in b) for _, g in grouped]
+        count = Counter(p for c in links for p in c)
+        best = {}
+        for (x, _), n in count.items():
+            best[x] = max(best.get(x, 0), n)
+        out = []
+        for (doc, g), c in zip(grouped, links):
+            text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g)
+            out.append(
+                (doc, sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g), sum(c.values()), sum(m for p, m in c.items() if count[p] == best[p[0]]),
+                 sum(count[p] * m for p, m in c.items()), hashlib.sha256(text.encode()).hexdigest() if g else "")
+            )
+        return out, count, best
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return Plain()
+
+
+COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def rows_of(df):
+    return sorted((tuple(r[c] for c in COLUMNS) for r in df.collect()), key=str)
+
+
+def awkward(n, seed):
+    rng = random.Random(seed)
+    return [(i, "".join(rng.choice(AWKWARD) for _ in range(rng.randint(0, 40)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("frequent", [token_alignment.FREQUENT, 40])
+def test_awkward_texts(spark, plain, frequent):
+    docs = awkward(500, 1)
+    got = token_alignment.align(spark.createDataFrame(docs, "doc_id long, text string"), BYTE, PIECE, frequent=frequent)
+    assert rows_of(got) == sorted(plain.rows(docs)[0], key=str)
+
+
+def test_documents(spark, sf, plain):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want, _, _ = plain.rows([(r.doc_id, r.text) for r in docs.collect()])
+    assert rows_of(token_alignment.align(docs, BYTE, PIECE)) == sorted(want, key=str)
+
+
+def test_edges(spark, plain):
+    rows = [(1, None), (2, ""), (None, "a b"), (3, "the same"), (3, "the same"), (4, "a▁b"), (5, " lead"), (6, "trail "), (7, "x  y\n z"), (8, "é" * 5000 + "word " * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("rid", "ids", "keys", "n_a")})
+    assert rows_of(token_alignment.align(docs, BYTE, PIECE)) == sorted(plain.rows(rows)[0], key=str)
+    assert token_alignment.align(docs.where("false"), BYTE, PIECE).count() == 0
+
+
+def test_pairs_and_groups(spark, plain):
+    docs = awkward(120, 2)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    lists = token_alignment.materialize(token_alignment.aligned(frame, BYTE, PIECE, with_groups=True))
+    _, count, best = plain.rows(docs)
+    table = {(r.a_id, r.b_id): (r.n, r.is_best) for r in token_alignment.pair_counts(lists, BYTE, PIECE).table().collect()}
+    assert table == {p: (n, n == best[p[0]]) for p, n in count.items()}
+    for r in lists.collect():
+        groups = plain.groups(docs[r.doc_id][1])
+        assert r.groups == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+
+
+def test_long_groups_are_listed_in_parts(monkeypatch, plain):
+    monkeypatch.setattr(token_alignment, "_PART", 3)
+    aligner = token_alignment.Aligner(token_alignment.read_model(BYTE), token_alignment.read_model(PIECE))
+    texts = [t for _, t in awkward(60, 3)]
+    got = aligner.align(texts)
+    for i, t in enumerate(texts):
+        groups = plain.groups(t)
+        assert got["n_links"][i] == sum(len(a) * len(b) for a, b in groups)
+    pairs = {(x, y) for t in texts for a, b in plain.groups(t) for x in a for y in b}
+    v = aligner.v
+    found = {tuple(map(int, divmod(k, v.size_b))) for k in got["keys"].values} | {(int(a), int(v.same[a])) for a in got["ids"].values}
+    assert found == pairs
