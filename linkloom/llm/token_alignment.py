@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.shared import text_groups
+from linkloom.llm.shared import byte_of_sign, text_groups
 from linkloom.llm.token_counts import read_model
 from linkloom.runtime import materialize
 
@@ -41,13 +41,6 @@ _LOOSE = re.compile(r"^ | (?:\s|$)")
 _PART = 1 << 20  # pairs of one group that are listed at a time
 
 
-def _byte_of_sign() -> dict[str, int]:
-    """Byte-level vocabularies write printable bytes as themselves, the others as signs from 256 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Vocabularies:
     """Both tokenizers, the bytes of their tokens, and for each first id the second id with the same bytes."""
 
@@ -60,7 +53,7 @@ class Vocabularies:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor()
         self.b.LoadFromSerializedProto(piece_model)
-        signs = _byte_of_sign()
+        signs = byte_of_sign()
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for token, i in json.loads(byte_model)["model"]["vocab"].items():
             self.bytes_a[i] = bytes(map(signs.__getitem__, token))

@@ -57,6 +57,18 @@ def test_words_give_the_librarys_ids(library):
     assert encoder.ids(texts[::-1]) == want[::-1]
 
 
+def test_latin_words_by_merging_give_the_librarys_ids(library):
+    random.seed(6)
+    merge = packing.merger(packing.read_model(MODEL)).encode_ordinary
+    signs = [chr(c) for c in range(1, ord(packing.LATIN_END))]
+    words = ["".join(random.choice(signs) for _ in range(random.randint(1, 25))) for _ in range(4000)]
+    words += ["".join(random.choice("aeiourstlnmdh0123'") for _ in range(random.randint(1, 25))) for _ in range(20000)]
+    for w, e in zip(words, library.encode_batch_fast([" " + w for w in words], add_special_tokens=False)):
+        if "<|endoftext|>" not in w:
+            assert merge(" " + w) == e.ids, w
+    assert packing.merger(packing.read_model(public_tokenizers.path("word_bpe_49k.json"))) is None
+
+
 @pytest.mark.parametrize("capacity", [1, 7, 64, 1024])
 def test_moves_are_best_fit(capacity):
     random.seed(capacity)
