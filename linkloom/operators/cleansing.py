@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
@@ -32,22 +32,47 @@ def article_text(articles: DataFrame) -> DataFrame:
     return standardise_nulls(composed).withColumn("text_length", T.word_count(F.col("corpus_text")))
 
 
-def cleanse_articles(articles: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    return pinned(article_text(articles)).where(F.col("text_length") >= min_words)
+def cleanse_articles(articles: DataFrame, min_words: int = MIN_WORDS, audit: Audit | None = None) -> DataFrame:
+    whole = pinned(article_text(articles))
+    if audit:
+        whole = audit.counted(whole, _article_tests(min_words))
+    return whole.where(F.col("text_length") >= min_words)
+
+
+class Audit:
+    """Row counts of stages, taken while the rows themselves are written.
+
+    ``counted`` puts an observation on a frame; after a job over the frame has ended ``table`` has its
+    counts, without another scan.  The counts are those of one job: write the frame once.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.seen = spark, []
+
+    def counted(self, df: DataFrame, stages: dict[str, Column]) -> DataFrame:
+        watch = Observation()
+        self.seen.append((watch, list(stages)))
+        return df.observe(watch, *[F.count_if(test).alias(name) for name, test in stages.items()])
+
+    def table(self) -> DataFrame:
+        """``(stage, n_rows)`` in the order in which the stages were counted."""
+        rows = [(name, watch.get[name]) for watch, names in self.seen for name in names]
+        return self.spark.createDataFrame(rows, "stage string, n_rows long")
+
+
+def _article_tests(min_words: int) -> dict[str, Column]:
+    length = F.col("text_length")
+    return {
+        "articles_read": F.lit(True),
+        "articles_without_text": length == 0,
+        "articles_too_short": length < min_words,
+        "articles_kept": length >= min_words,
+    }
 
 
 def article_stages(articles: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Audit counts of the article stages, one row per stage, from one scan."""
-    length = F.col("text_length")
-    return _audit(
-        article_text(articles),
-        {
-            "articles_read": F.lit(True),
-            "articles_without_text": length == 0,
-            "articles_too_short": length < min_words,
-            "articles_kept": length >= min_words,
-        },
-    )
+    return _audit(article_text(articles), _article_tests(min_words))
 
 
 def only_linked(pages: DataFrame, articles: DataFrame) -> DataFrame:
@@ -104,12 +129,18 @@ def cleanse_pages(
     min_words: int = MIN_WORDS,
     language: str = "en",
     detector: T.Detector = T.language_by_profile,
+    audit: Audit | None = None,
 ) -> DataFrame:
     """Linked, long enough pages in one language, with title, content and composed text."""
-    kept = pinned(page_text(only_linked(pages, articles))).where(has_text() & (F.col("text_length") >= min_words))
+    linked = pinned(page_text(only_linked(pages, articles)))
+    if audit:
+        linked = audit.counted(linked, _page_tests(min_words))
+    kept = linked.where(has_text() & (F.col("text_length") >= min_words))
+    spoken = pinned(with_language(kept, detector)).where(F.col("lang") == language)
+    if audit:
+        spoken = audit.counted(spoken, {"pages_in_language": F.lit(True)})
     return (
-        pinned(with_language(kept, detector))
-        .where(F.col("lang") == language)
+        spoken
         .select(
             "web_id",
             "processed_content",
@@ -125,23 +156,23 @@ def cleanse_pages(
     )
 
 
+def _page_tests(min_words: int) -> dict[str, Column]:
+    return {
+        "pages_linked": F.lit(True),
+        "pages_without_title": F.col("title_nan"),
+        "pages_without_content": F.col("content_nan"),
+        "pages_with_text": has_text(),
+        "pages_long_enough": has_text() & (F.col("text_length") >= min_words),
+    }
+
+
 def page_stages(
     pages: DataFrame, articles: DataFrame, min_words: int = MIN_WORDS, language: str = "en"
 ) -> DataFrame:
     """Audit counts after each page stage, from one pass over the linked pages."""
     tagged = with_language(page_text(only_linked(pages, articles)))
     long_enough = has_text() & (F.col("text_length") >= min_words)
-    return _audit(
-        tagged,
-        {
-            "pages_linked": F.lit(True),
-            "pages_without_title": F.col("title_nan"),
-            "pages_without_content": F.col("content_nan"),
-            "pages_with_text": has_text(),
-            "pages_long_enough": long_enough,
-            "pages_in_language": long_enough & (F.col("lang") == language),
-        },
-    )
+    return _audit(tagged, _page_tests(min_words) | {"pages_in_language": long_enough & (F.col("lang") == language)})
 
 
 def _audit(df: DataFrame, stages: dict[str, Column]) -> DataFrame:

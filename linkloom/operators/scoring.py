@@ -1,62 +1,63 @@
 """Cosine of known links and their rank among all candidate articles.
 
 The rank of a link is one plus the number of articles that score higher for its page, so pairs
-are counted and never emitted.  Pages and articles are dealt into even hash blocks; each pair of
-blocks is one task that multiplies the two blocks and returns one number per link.  Block sizes are
-fixed, so memory per task does not depend on the data, on frequent terms or on popular pages.
+are counted and never emitted.  Links are cut into slices of a bounded number of vector entries; a
+slice is broadcast and the articles are scanned where they lie, each task returning one number per
+link.  Articles are never copied for the links, and memory per task does not depend on the data, on
+frequent terms or on popular pages; the number of scans grows with the links.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators.smallside import as_lists, lists
+from linkloom.runtime import materialize
+
 DECIMALS = 9
-LINKS_PER_BLOCK = 2048
-ARTICLES_PER_BLOCK = 8192
+SLICE_ENTRIES = 1 << 21  # of the links that are broadcast at a time
+ARTICLES_PER_TASK = 8192
 _CELLS_AT_ONCE = 1_000_000
 _DENSE_SHARE = 1 / 400
 _MOST_DENSE_TERMS = 4096
 
 
-def _unit(terms: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flatten vectors of unit length: (start offsets, term ids, weights); zero vectors stay zero."""
-    sizes = np.fromiter((len(w) for w in weights), dtype=np.int64, count=len(weights))
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    if starts[-1] == 0:
-        return starts, np.zeros(0, np.int64), np.zeros(0)
-    flat_terms = np.concatenate([np.asarray(t, dtype=np.int64) for t in terms])
-    flat = np.concatenate([np.asarray(w, dtype=np.float64) for w in weights])
-    norms = np.sqrt(np.array([float(np.dot(w, w)) for w in np.split(flat, starts[1:-1])]))
+def _rows(sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _entries(terms, weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of Arrow lists, rows scaled to unit length; zero vectors stay zero."""
+    sizes, ids = lists(terms)
+    weight = lists(weights)[1].astype(np.float64)
+    row = _rows(sizes)
+    norms = np.sqrt(np.bincount(row, weight * weight, len(sizes)).astype(np.float64))
     norms[norms == 0] = 1.0
-    return starts, flat_terms, flat / np.repeat(norms, sizes)
-
-
-def _score_known(batches):
-    for pdf in batches:
-        cos = np.zeros(len(pdf))
-        for i, (wt, ww, pt, pw) in enumerate(
-            zip(pdf["web_terms"], pdf["web_weights"], pdf["pm_terms"], pdf["pm_weights"])
-        ):
-            if wt is None or pt is None or len(wt) == 0 or len(pt) == 0:
-                continue
-            ww, pw = np.asarray(ww, float), np.asarray(pw, float)
-            scale = math.sqrt(float(np.dot(ww, ww)) * float(np.dot(pw, pw)))
-            _, left, right = np.intersect1d(wt, pt, assume_unique=True, return_indices=True)
-            cos[i] = float(np.dot(ww[left], pw[right])) / scale if scale else 0.0
-        yield pd.DataFrame(
-            {
-                "web_id": pdf["web_id"],
-                "pmid": pdf["pmid"],
-                "cos": np.round(cos, DECIMALS),
-                "terms": pdf["web_terms"].map(lambda t: [] if t is None else t),
-                "weights": pdf["web_weights"].map(lambda w: [] if w is None else w),
-            }
-        )
+    return row, ids.astype(np.int64), weight / norms[row]
+
+
+def _cosines(batch: pa.RecordBatch) -> np.ndarray:
+    """Cosine of the two vectors of each row; an empty one scores 0."""
+    row, term, weight = _entries(batch.column("terms"), batch.column("weights"))
+    other_row, other_term, other_weight = _entries(batch.column("pm_terms"), batch.column("pm_weights"))
+    ids, code = np.unique(np.concatenate([term, other_term]), return_inverse=True)
+    key, other = row * len(ids) + code[: len(term)], other_row * len(ids) + code[len(term) :]
+    _, left, right = np.intersect1d(key, other, assume_unique=True, return_indices=True)
+    return np.bincount(row[left], weight[left] * other_weight[right], batch.num_rows).astype(np.float64)
+
+
+def _score_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cos = np.round(_cosines(batch), DECIMALS)
+        columns = [batch.column("web_id"), batch.column("pmid"), pa.array(cos), batch.column("terms"), batch.column("weights")]
+        yield pa.RecordBatch.from_arrays(columns, ["web_id", "pmid", "cos", "terms", "weights"])
 
 
 def score_links(links: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -64,37 +65,14 @@ def score_links(links: DataFrame, vectors: DataFrame) -> DataFrame:
 
     Pages or articles without a vector score 0.
     """
-    web = vectors.where(F.col("side") == "web").select(
-        F.col("id").alias("web_id"), F.col("terms").alias("web_terms"), F.col("weights").alias("web_weights")
-    )
+    web = vectors.where(F.col("side") == "web").select(F.col("id").alias("web_id"), "terms", "weights")
     pm = vectors.where(F.col("side") == "pm").select(
         F.col("id").alias("pmid"), F.col("terms").alias("pm_terms"), F.col("weights").alias("pm_weights")
     )
     joined = links.select("web_id", "pmid").join(web, "web_id", "left").join(pm, "pmid", "left")
-    return joined.mapInPandas(
-        _score_known,
-        "web_id long, pmid long, cos double, terms array<long>, weights array<double>",
-    )
-
-
-def _count_above(queries: pd.DataFrame, articles: pd.DataFrame) -> pd.DataFrame:
-    """For each link of the block: how many articles of the block score above it.
-
-    Terms frequent on both sides go through one dense product; all others only touch the pairs that
-    share them.  Both parts are exact.
-    """
-    q_start, q_terms, q_w = _unit(list(queries["terms"]), list(queries["weights"]))
-    a_start, a_terms, a_w = _unit(list(articles["terms"]), list(articles["weights"]))
-    goal = np.rint(queries["cos"].to_numpy(float) * 10**DECIMALS)
-    above = np.zeros(len(queries), dtype=np.int64)
-    if len(queries) and len(articles):
-        for scores in _block_scores(_entries(q_start, q_terms, q_w), _entries(a_start, a_terms, a_w), len(queries), len(articles)):
-            above += (np.rint(scores * 10**DECIMALS) > goal).sum(axis=0)
-    return queries[["web_id", "pmid", "cos"]].assign(above=above)
-
-
-def _entries(start, terms, weights):
-    return np.repeat(np.arange(len(start) - 1), np.diff(start)), terms, weights
+    empty = {"terms": "array<long>", "weights": "array<double>", "pm_terms": "array<long>", "pm_weights": "array<double>"}
+    ordered = joined.select("web_id", "pmid", *[F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in empty.items()])
+    return ordered.mapInArrow(_score_known, "web_id long, pmid long, cos double, terms array<long>, weights array<double>")
 
 
 def _block_scores(q, a, n_q: int, n_a: int):
@@ -150,37 +128,119 @@ def _add_shared(scores, row, at, weight, post_start, post_len, post_row, post_w)
         scores += np.bincount(cell, weights=product, minlength=scores.size).reshape(scores.shape)
 
 
-def rank_links(
-    links: DataFrame,
-    vectors: DataFrame,
-    links_per_block: int = LINKS_PER_BLOCK,
-    articles_per_block: int = ARTICLES_PER_BLOCK,
-) -> DataFrame:
+def _count_above(queries: tuple, goal: np.ndarray, ids: pa.Table):
+    """For each link of the slice: how many of a task's articles score above it.
+
+    Terms frequent on both sides go through one dense product; all others only touch the pairs that
+    share them.  Both parts are exact.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = np.zeros(len(goal), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                for scores in _block_scores(queries, _entries(batch.column(0), batch.column(1)), len(goal), batch.num_rows):
+                    above += (np.rint(scores * 10**DECIMALS) > goal).sum(axis=0)
+        yield from ids.append_column("above", pa.array(above)).to_batches()
+
+    return count
+
+
+def _sliced(scored: DataFrame, entries: str) -> Iterator[pa.Table]:
+    """The rows of ``scored`` in slices of about ``SLICE_ENTRIES`` entries, dealt by link."""
+    total = scored.agg(F.sum(F.expr(entries).cast("long"))).first()[0]
+    if total is None:
+        return
+    slices = max(1, math.ceil(total / SLICE_ENTRIES))
+    written = materialize(scored.withColumn("_slice", F.pmod(F.xxhash64("web_id", "pmid"), F.lit(slices)).cast("int")), "_slice")
+    for i in range(slices):
+        part = written.where(F.col("_slice") == i).drop("_slice").toArrow()
+        if part.num_rows:
+            yield part
+
+
+def _dealt(articles: DataFrame, *columns: str) -> DataFrame:
+    """Articles spread over enough tasks, written once for all slices."""
+    cores = articles.sparkSession.sparkContext.defaultParallelism
+    n = max(3 * cores, math.ceil(articles.count() / ARTICLES_PER_TASK))
+    return materialize(articles.select("id", *columns).repartition(n, "id")).select(*columns)
+
+
+def _summed(parts: list[DataFrame], *keys: str) -> DataFrame:
+    """``above`` is summed where it was counted; a slice's links are its own."""
+    ranks = F.max("cos").alias("cos"), (F.sum("above") + 1).alias("rank")
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*ranks)
+
+
+_COUNTS = "web_id long, pmid long, cos double, above long"
+
+
+def rank_links(links: DataFrame, vectors: DataFrame) -> DataFrame:
     """(web_id, pmid, cos, rank) of every link among all articles in ``vectors``.
 
-    ``vectors`` is read several times; pass a materialized table.
+    ``vectors`` (side, id, terms, weights) is read several times; pass a materialized table.
     """
-    spark = vectors.sparkSession
-    articles = vectors.where(F.col("side") == "pm").select("id", "terms", "weights")
-    cores = spark.sparkContext.defaultParallelism
-    q_blocks = max(1, math.ceil(links.count() / links_per_block))
-    a_blocks = max(1, math.ceil(articles.count() / articles_per_block), math.ceil(3 * cores / q_blocks))
-    tasks = min(q_blocks * a_blocks, 20_000)
-    scored = score_links(links, vectors)
-
-    def dealt(df, ids, own, blocks, other, n_other):
-        return df.withColumn(own, F.pmod(F.xxhash64(*ids), F.lit(blocks)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
-
-    queries = dealt(scored, ["web_id", "pmid"], "_qb", q_blocks, "_ab", a_blocks)
-    targets = dealt(articles, ["id"], "_ab", a_blocks, "_qb", q_blocks)
-    partial = (
-        queries.repartition(tasks, "_qb", "_ab")
-        .groupBy("_qb", "_ab")
-        .cogroup(targets.repartition(tasks, "_qb", "_ab").groupBy("_qb", "_ab"))
-        .applyInPandas(_count_above, "web_id long, pmid long, cos double, above long")
-    )
-    return partial.groupBy("web_id", "pmid").agg(
-        F.max("cos").alias("cos"), (F.sum("above") + 1).alias("rank")
-    )
+    articles = _dealt(vectors.where(F.col("side") == "pm"), "terms", "weights")
+    parts = [vectors.sparkSession.createDataFrame([], _COUNTS)]
+    for part in _sliced(materialize(score_links(links, vectors)), "size(terms) + 1"):
+        goal = np.rint(part.column("cos").to_numpy() * 10**DECIMALS)
+        queries = _entries(part.column("terms"), part.column("weights"))
+        parts.append(articles.mapInArrow(_count_above(queries, goal, part.select(["web_id", "pmid", "cos"])), _COUNTS))
+    return _summed(parts, "web_id", "pmid")
+
+
+def _prefix_cosines(left: np.ndarray, right: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+    """Cosine of each row pair at each size, (sizes, rows)."""
+    dot, a, b = (np.cumsum(x * y, axis=1)[:, np.array(sizes) - 1] for x, y in ((left, right), (left, left), (right, right)))
+    scale = np.sqrt(a * b)
+    return np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0).T
+
+
+def _count_above_at(queries: np.ndarray, goal: np.ndarray, sizes: Sequence[int], ids: pa.Table):
+    """As ``_count_above`` for dense vectors, at every size in one sweep over their columns."""
+    starts = [0, *sizes[:-1]]
+
+    def lengths(x: np.ndarray) -> list[np.ndarray]:
+        squares = np.cumsum([np.einsum("ij,ij->i", x[:, a:b], x[:, a:b]) for a, b in zip(starts, sizes)], axis=0)
+        return [np.where(s > 0, np.sqrt(s), 1.0) for s in squares]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lengths(queries)
+        above = np.zeros(goal.shape, np.int64)
+        step = max(1, _CELLS_AT_ONCE // max(1, len(queries)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.column(0).slice(lo, step)
+                x = lists(part)[1].reshape(len(part), -1)
+                dots = np.zeros((len(x), len(queries)))
+                for k, (a, b, of_x, of_q) in enumerate(zip(starts, sizes, lengths(x), own)):
+                    dots += x[:, a:b] @ queries[:, a:b].T
+                    above[k] += (np.rint(dots / of_x[:, None] / of_q * 10**DECIMALS) > goal[k]).sum(axis=0)
+        for k, size in enumerate(sizes):
+            table = ids.append_column("size", pa.array(np.full(len(queries), size, np.int32)))
+            table = table.append_column("cos", pa.array(goal[k] / 10**DECIMALS)).append_column("above", pa.array(above[k]))
+            yield from table.to_batches()
+
+    return count
+
+
+def rank_prefixes(links: DataFrame, vectors: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """(web_id, pmid, size, cos, rank): ranks by the first ``size`` components, for each of ``sizes``.
+
+    ``vectors`` (side, id, vec), a materialized table, has dense vectors of the largest size or more
+    for every page and article of interest.  One scan of the articles serves all sizes.  A link
+    without a page or article vector has no rank.
+    """
+    sizes = sorted(set(sizes))
+    cut = F.slice("vec", 1, sizes[-1])
+    web = vectors.where(F.col("side") == "web").select(F.col("id").alias("web_id"), cut.alias("x"))
+    pm = vectors.where(F.col("side") == "pm").select(F.col("id").alias("pmid"), cut.alias("y"))
+    articles = _dealt(vectors.where(F.col("side") == "pm").select("id", cut.alias("vec")), "vec")
+    schema = "web_id long, pmid long, size int, cos double, above long"
+    parts = [vectors.sparkSession.createDataFrame([], schema)]
+    pairs = links.select("web_id", "pmid").join(web, "web_id").join(pm, "pmid").select("web_id", "pmid", "x", "y")
+    for part in _sliced(materialize(pairs), "2 * size(x)"):
+        x, y = (lists(part.column(c))[1].reshape(part.num_rows, -1) for c in ("x", "y"))
+        goal = np.rint(_prefix_cosines(x, y, sizes) * 10**DECIMALS)
+        parts.append(articles.mapInArrow(_count_above_at(x, goal, sizes, part.select(["web_id", "pmid"])), schema))
+    return _summed(parts, "web_id", "pmid", "size")

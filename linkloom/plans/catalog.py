@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
 from linkloom.operators import (
+    cca,
     cleansing,
     duplicates,
     evaluate,
     features,
+    language,
     links,
     ordering,
     retrieval,
     scoring,
     splits,
+    svd,
 )
 from linkloom.operators import nearduplicates as near
 from linkloom.plans import experiment, grid, oracle, pipeline
@@ -139,6 +143,14 @@ def lang_filter(spark, sf_dir):
     return spoken.where(F.col("lang_found") == "en")
 
 
+@register("lang_learned", f"WITH {oracle.learned_language('documents', 'text', 'lang')} SELECT doc_id, lang_found FROM found")
+def lang_learned(spark, sf_dir):
+    """Language of every document by profiles learned from the declared languages of all of them."""
+    docs = S.texts(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    detect = language.detector(language.fit(docs))
+    return docs.select("doc_id", detect(F.col("text")).alias("lang_found"))
+
+
 def _clean_pages(spark, sf_dir):
     return cleansing.cleanse_pages(S.raw_pages(spark, sf_dir), article_cleanse(spark, sf_dir))
 
@@ -358,7 +370,7 @@ def near_dup_survivor(spark, sf_dir):
 
 def _surviving(spark, sf_dir):
     pages = materialize(_deduped(spark, sf_dir))
-    pairs = materialize(near.near_duplicate_pairs(pages))
+    pairs = materialize(near.spanning_pairs(near.near_duplicate_classes(pages)))
     return near.survivors(pairs, pages)
 
 
@@ -507,6 +519,27 @@ def pipeline_final_articles(spark, sf_dir):
     return _final(spark, sf_dir).articles.select("pmid", "web_id", F.md5("corpus_text").alias("text_md5"))
 
 
+@register(
+    "pipeline_audit",
+    f"""WITH {oracle.FINAL}
+SELECT 'articles_read' AS stage, count(*) AS n_rows FROM pm_text
+UNION ALL SELECT 'articles_without_text', count(*) FROM pm_text WHERE text_length = 0
+UNION ALL SELECT 'articles_too_short', count(*) FROM pm_text WHERE text_length < 100
+UNION ALL SELECT 'articles_kept', count(*) FROM pm_clean
+UNION ALL SELECT 'pages_linked', count(*) FROM linked
+UNION ALL SELECT 'pages_without_title', count(*) FROM flagged WHERE title_nan
+UNION ALL SELECT 'pages_without_content', count(*) FROM flagged WHERE content_nan
+UNION ALL SELECT 'pages_with_text', count(*) FROM flagged WHERE NOT (title_nan AND content_nan)
+UNION ALL SELECT 'pages_long_enough', count(*) FROM flagged WHERE NOT (title_nan AND content_nan) AND text_length >= 100
+UNION ALL SELECT 'pages_in_language', count(*) FROM pages_clean
+UNION ALL SELECT 'pages_without_copies', count(*) FROM deduped
+UNION ALL SELECT 'pages_without_near_copies', count(*) FROM surviving
+UNION ALL SELECT 'links_chosen', count(*) FROM links""",
+)
+def pipeline_audit(spark, sf_dir):
+    return _final(spark, sf_dir).audit
+
+
 @register("pipeline_measures", f"WITH {oracle.FINAL_RANKS} {oracle.measures('ranks')}")
 def pipeline_measures(spark, sf_dir):
     return pipeline.measures(_final(spark, sf_dir))
@@ -565,9 +598,10 @@ def experiment_results(spark, sf_dir):
     return grid.results(grid.run_ranks(prepared, plan))
 
 
-#: The reference's component counts: non-cca_analysis_pipeline.py, cca_analysis_pipeline.py.
+#: Component counts of the grid in SURVEY section 6; the last two pairs are too dear for it.
 SVD_SIZES = [100, 200, 400, 600, 800, 1600]
-SVD_SIZES_OF_CCA, CCA_SIZES = [100, 200, 400, 800, 1600], [50, 100, 200, 400, 800]
+SVD_SIZES_OF_CCA, CCA_SIZES = [100, 200, 400, 800, 1600], [50, 100, 200, 400, 800, 1600]
+CCA_SKIPPED = [(1600, 800), (1600, 1600)]
 
 
 @register("svd_rank_measures")
@@ -581,4 +615,47 @@ def svd_rank_measures(spark, sf_dir):
 def cca_rank_measures(spark, sf_dir):
     prepared = _prepared(spark, sf_dir)
     plan = grid.experiment_grid(spark, ["TF-IDF"], [2], [1.0], SVD_SIZES_OF_CCA, CCA_SIZES)
-    return grid.results(grid.run_ranks(prepared, plan))
+    return grid.results(grid.run_ranks(prepared, plan, CCA_SKIPPED))
+
+
+def _first_component(spark, sf_dir):
+    """(side, split, id, x): TF-IDF documents on the first component, and the links they belong to."""
+    prepared = _prepared(spark, sf_dir)
+    matrix = materialize(features.features(experiment.known_terms(prepared), "TF-IDF", prepared.n_docs))
+    model = svd.truncated_svd(matrix, 1)
+    vectors = svd.all_documents(model, prepared.corpus, 1)
+    return materialize(vectors.select("side", "split", "id", F.abs(F.col("vec")[0]).alias("x"))), prepared
+
+
+@register("svd_leading_component", f"""WITH {oracle.LEADING} SELECT side, split, id, round(x, 5) AS x FROM first_axis""")
+def svd_leading_component(spark, sf_dir):
+    return _first_component(spark, sf_dir)[0].withColumn("x", F.round("x", 5))
+
+
+@register(
+    "cca_first_correlation",
+    f"""WITH {oracle.LEADING}
+SELECT count(*) AS n_pairs, round(abs(corr(w.x, p.x)), 6) AS correlation
+FROM tagged t JOIN first_axis w ON w.side = 'web' AND w.id = t.web_id JOIN first_axis p ON p.side = 'pm' AND p.id = t.pmid
+WHERE t.train_test = 'Train'""",
+)
+def cca_first_correlation(spark, sf_dir):
+    rows, prepared = _first_component(spark, sf_dir)
+    vectors = rows.select("side", "split", "id", F.array("x").alias("vec"))
+    total = cca.moments(cca.training_pairs(vectors, prepared.train_links), 1)
+    found = cca.solve(total, 1, 1)
+    return spark.createDataFrame([(int(total[-1, -1]), round(float(found.correlations[0]), 6))], "n_pairs long, correlation double")
+
+
+@register("svd_explained_variance")
+def svd_explained_variance(spark, sf_dir):
+    """Share of the variance that the first components of each weighting explain, by size."""
+    prepared = _prepared(spark, sf_dir)
+    known, found = experiment.known_terms(prepared), []
+    for method in features.METHODS:
+        matrix = materialize(features.features(known, method, prepared.n_docs))
+        ratios = svd.explained_variance(svd.truncated_svd(matrix, SVD_SIZES[-1]), matrix, prepared.n_docs, SVD_SIZES[-1])
+        shares = [F.sum(F.when(F.col("component") < k, F.col("ratio"))).alias(str(k)) for k in SVD_SIZES]
+        row = ratios.agg(*shares).unpivot([], [str(k) for k in SVD_SIZES], "tsvd", "explained")
+        found.append(materialize(row.select(F.lit(method).alias("feature"), F.col("tsvd").cast("int").alias("tsvd"), "explained")))
+    return reduce(DataFrame.unionByName, found)

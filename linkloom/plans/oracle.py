@@ -111,6 +111,48 @@ def measures(source: str, by: str = "") -> str:
 FROM {source}{group}"""
 
 
+def _leading(rounds: int) -> str:
+    """CTEs up to ``first_axis(side, split, id, x)``: TF-IDF documents on the leading right singular vector.
+
+    Found by power iteration, so without any decomposition; documents without a term get 0.
+    """
+    steps = [
+        "wa AS (SELECT side, id, term, " + WEIGHTS["TF-IDF"] + " AS w FROM tf JOIN vocab USING (term), nd)",
+        "wn AS (SELECT side, id, sqrt(sum(w * w)) AS l FROM wa GROUP BY ALL)",
+        "a AS MATERIALIZED (SELECT side, id, term, w / l AS w FROM wa JOIN wn USING (side, id))",
+        "v0 AS MATERIALIZED (SELECT term, 1.0::DOUBLE / sqrt(count(*) OVER ()) AS x FROM (SELECT DISTINCT term FROM a))",
+    ]
+    for k in range(rounds):
+        steps.append(f"z{k} AS MATERIALIZED (SELECT side, id, sum(w * x) AS x FROM a JOIN v{k} USING (term) GROUP BY ALL)")
+        steps.append(f"y{k} AS MATERIALIZED (SELECT term, sum(w * x) AS x FROM a JOIN z{k} USING (side, id) GROUP BY ALL)")
+        steps.append(f"v{k + 1} AS MATERIALIZED (SELECT term, x / (SELECT sqrt(sum(x * x)) FROM y{k}) AS x FROM y{k})")
+    steps.append(f"on_first AS (SELECT side, id, abs(sum(w * x)) AS x FROM a JOIN v{rounds} USING (term) GROUP BY ALL)")
+    steps.append("first_axis AS (SELECT side, split, id, coalesce(x, 0) AS x FROM split_corpus LEFT JOIN on_first USING (side, id))")
+    return TERMS + ",\n" + ",\n".join(steps)
+
+
+LEADING = _leading(150)
+
+def learned_language(table: str, text: str, lang: str) -> str:
+    """CTEs up to ``found(doc_id, lang_found)``: likelihood of three-letter runs counted per declared language."""
+    return f"""opening AS (
+  SELECT doc_id, {lang} AS lang, array_to_string(regexp_extract_all(lower({text}), '\\p{{L}}+')[1:30], ' ') AS o FROM {table}
+),
+signs AS (SELECT doc_id, lang, string_split(' ' || o || ' ', '') AS s FROM opening WHERE o <> ''),
+run AS (
+  SELECT doc_id, lang, unnest(list_transform(range(1, len(s) - 1),
+    lambda i: (unicode(s[i]) * 961 + unicode(s[i + 1]) * 31 + unicode(s[i + 2])) % 4096)) AS b FROM signs
+),
+per AS (SELECT lang, b, count(*) AS n FROM run WHERE lang IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS t FROM per GROUP BY lang),
+rated AS (
+  SELECT doc_id, t.lang, sum(ln((coalesce(p.n, 0) + 1)::DOUBLE / (t.t + 4096))) AS score
+  FROM run r CROSS JOIN totals t LEFT JOIN per p ON p.lang = t.lang AND p.b = r.b GROUP BY ALL
+),
+best AS (SELECT doc_id, lang FROM rated QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1),
+found AS (SELECT d.doc_id, best.lang AS lang_found FROM {table} d LEFT JOIN best USING (doc_id))"""
+
+
 # Stand-ins for the raw tables.
 
 RAW_ARTICLES = f"""{D},

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,14 +57,39 @@ def release(spark: SparkSession) -> int:
 
     Returns how many were deleted.  Frames that still read them stop working.
     """
+    return _delete(spark, _written.pop(spark.sparkContext.applicationId, []))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    n, own = 0, _written.pop(spark.sparkContext.applicationId, [])
-    while own:
-        path = jvm.org.apache.hadoop.fs.Path(own.pop())
+    n = 0
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += path.getFileSystem(conf).delete(path, True)
     return n
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``materialize`` writes inside are deleted at the end, but for those that are kept.
+
+    The function that comes with it marks a frame, as ``materialize`` returned it, to be kept.
+    """
+    own = _written.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = set(own), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._table_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        gone = [path for path in own if path not in before and path not in kept]
+        own[:] = [path for path in own if path in before or path in kept]
+        _delete(spark, gone)
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and scan it back.
 
@@ -76,4 +103,6 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._table_path = path
+    return table

@@ -1,19 +1,97 @@
 """The registered reductions run over the reference's grid."""
 
-from linkloom.plans import catalog, grid
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.plans import catalog, experiment, grid
 
 
 def registered_grid(spark, monkeypatch, name):
     plans = []
     monkeypatch.setattr(catalog, "_prepared", lambda spark, sf_dir: None)
-    monkeypatch.setattr(grid, "run_ranks", lambda prepared, plan: plans.append(plan))
+    monkeypatch.setattr(grid, "run_ranks", lambda prepared, plan, skip=(): plans.append((plan, set(skip))))
     monkeypatch.setattr(grid, "results", lambda ranks: ranks)
     catalog.QUERIES[name](spark, "")
-    return {(r.feature, r.tsvd, r.cca_k) for r in plans[0].collect()}
+    plan, skip = plans[0]
+    return {(r.feature, r.tsvd, r.cca_k) for r in plan.collect() if (r.tsvd, r.cca_k) not in skip}
 
 
 def test_registered_grids_are_the_reference_s(spark, monkeypatch):
     got = registered_grid(spark, monkeypatch, "svd_rank_measures")
     assert got == {(f, k, 0) for f in ("Binary", "TF", "TF-IDF") for k in (100, 200, 400, 600, 800, 1600)}
     got = registered_grid(spark, monkeypatch, "cca_rank_measures")
-    assert got == {("TF-IDF", k, c) for k in (100, 200, 400, 800, 1600) for c in (50, 100, 200, 400, 800) if c <= k}
+    pairs = {(k, c) for k in (100, 200, 400, 800, 1600) for c in (50, 100, 200, 400, 800, 1600) if c <= k}
+    assert got == {("TF-IDF", k, c) for k, c in pairs - {(1600, 800), (1600, 1600)}}
+
+
+@pytest.mark.parametrize("name", ["svd_leading_component", "cca_first_correlation"])
+def test_reductions_against_sql(spark, sf, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.execute(catalog.ORACLES[name]).fetchdf()
+    got = catalog.QUERIES[name](spark, sf).toPandas()
+    names = sorted(got.columns)
+    assert sorted(map(tuple, got[names].values.tolist())) == sorted(map(tuple, want[names].values.tolist()))
+
+
+def test_registered_reductions_run(spark, sf):
+    """All sizes and weightings, at the smallest scale."""
+    got = catalog.svd_rank_measures(spark, sf).collect()
+    assert len(got) == 18 and all(r.n_links > 10 and r.median >= 1 for r in got)
+    by = {(r.feature, r.tsvd): (r.median, r.iqr25, r.iqr75) for r in got}
+    plain = {r.feature: (r.median, r.iqr25, r.iqr75) for r in catalog.experiment_results(spark, sf).collect()}
+    assert set(plain) == {f for f, _ in by}
+    for feature in plain:  # beyond the rank more components change nothing
+        assert by[feature, 600] == by[feature, 800] == by[feature, 1600]
+    got = catalog.cca_rank_measures(spark, sf).collect()
+    assert len(got) == 18 and all(r.n_links > 10 for r in got)
+    shares = {(r.feature, r.tsvd): r.explained for r in catalog.svd_explained_variance(spark, sf).collect()}
+    assert len(shares) == 18 and all(shares[f, 100] <= shares[f, 1600] <= 1.0001 for f, _ in shares)
+    assert all(shares[f, 1600] > 0.999 for f, _ in shares)
+
+
+def test_full_rank_ranks_as_the_features_themselves(spark, sf):
+    prepared = catalog._prepared(spark, sf)
+    known = experiment.known_terms(prepared)
+    plan = grid.experiment_grid(spark, ["TF"], [2], [0.85], [800]).where("reduction = 'T-SVD'")
+    reduced = {(r.web_id, r.pmid): r["rank"] for r in grid.run_ranks(prepared, plan).collect()}
+    plain = {(r.web_id, r.pmid): r["rank"] for r in experiment.sparse_ranks(prepared, known, "TF").collect()}
+    assert reduced == plain
+
+
+def test_a_killed_run_goes_on_and_a_failure_does_not_stop_the_others(spark, sf, tmp_path, monkeypatch):
+    prepared, path = catalog._prepared(spark, sf), str(tmp_path / "grid")
+    plan = grid.experiment_grid(spark, ["TF", "TF-IDF"], [2], [0.85], [5, 10])
+    ran, real = [], grid._unit_ranks
+
+    def once(fail):
+        def run(prepared, known, unit, rows, keep_parts=None):
+            ran.append((unit[0], unit[3]))
+            if (unit[0], unit[3]) == fail:
+                raise KeyboardInterrupt if fail[0] == grid.TSVD else ValueError("no memory")
+            return real(prepared, known, unit, rows, keep_parts)
+
+        return run
+
+    monkeypatch.setattr(grid, "_unit_ranks", once((grid.TSVD, "TF-IDF")))
+    with pytest.raises(KeyboardInterrupt):  # as if the driver had been killed
+        grid.run_stored(prepared, plan, path)
+    assert len(grid.finished(spark, path)) == 4
+    ran.clear()
+    monkeypatch.setattr(grid, "_unit_ranks", real)
+    wider = plan.unionByName(grid.experiment_grid(spark, ["Binary"], [2], [0.85], []))
+    monkeypatch.setattr(grid, "_unit_ranks", once((grid.THRESHOLDS, "Binary")))
+    got = grid.run_stored(prepared, wider, path)
+    assert ran == [(grid.THRESHOLDS, "Binary"), (grid.TSVD, "TF-IDF")]
+    assert got.count() == 6
+    failed = grid.ledger(spark, path).where("status = 'failed'").collect()
+    assert [(r.experiment.split("_")[0], r.message) for r in failed] == [("Binary", "ValueError: no memory")]
+    monkeypatch.setattr(grid, "_unit_ranks", real)
+    assert grid.run_stored(prepared, wider, path).count() == 7
+    direct = {r.experiment: (r.n_links, r.median) for r in grid.results(grid.run_ranks(prepared, wider)).collect()}
+    assert {r.experiment: (r.n_links, r.median) for r in spark.read.parquet(f"{path}/results").collect()} == direct
+    parts = spark.read.parquet(f"{path}/parts")
+    assert parts.select("feature", "tsvd", "side", "split").distinct().count() == 2 * 2 * 4
+    assert {r.n for r in parts.select("tsvd", (parts.tsvd == F.size("vec")).alias("n")).distinct().collect()} == {True}

@@ -71,14 +71,15 @@ def test_weights(spark, known):
 def test_ranks_count_ties_and_zero_vectors(spark, known):
     vectors = materialize(features.sparse_vectors(known, "TF", F.lit(6)))
     links = spark.createDataFrame([(1, 1), (2, 2), (3, 9), (1, 9)], "web_id long, pmid long")
-    got = {(r["web_id"], r["pmid"]): (r["cos"], r["rank"]) for r in scoring.rank_links(links, vectors, 2, 2).collect()}
+    got = {(r["web_id"], r["pmid"]): (r["cos"], r["rank"]) for r in scoring.rank_links(links, vectors).collect()}
     assert got[(1, 1)] == (round(3 / math.sqrt(15), 9), 1)
     assert got[(3, 9)] == (0.0, 1)
     assert got[(2, 2)][1] == 1 and got[(1, 9)][1] == 2
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_counted_ranks_equal_window_rank(spark, seed):
+def test_counted_ranks_equal_window_rank(spark, seed, monkeypatch):
+    monkeypatch.setattr(scoring, "SLICE_ENTRIES", 20)
     rng = np.random.default_rng(seed)
     rows = []
     for side, n in (("web", 15), ("pm", 40)):
@@ -88,7 +89,7 @@ def test_counted_ranks_equal_window_rank(spark, seed):
     schema = "side string, split string, id long, terms array<long>, weights array<double>"
     vectors = materialize(spark.createDataFrame(rows, schema))
     links = spark.createDataFrame([(i, (i * 7) % 40) for i in range(15)], "web_id long, pmid long")
-    got = {(r["web_id"], r["pmid"]): r["rank"] for r in scoring.rank_links(links, vectors, 4, 11).collect()}
+    got = {(r["web_id"], r["pmid"]): r["rank"] for r in scoring.rank_links(links, vectors).collect()}
     dense = {(s, i): np.zeros(30) for s, _, i, _, _ in rows}
     for s, _, i, t, w in rows:
         dense[(s, i)][t] = w
@@ -163,7 +164,7 @@ def test_svd_matches_numpy(spark):
     cells = [(int(i), int(j)) for i, j in zip(*np.nonzero(dense))]
     rows = [("web" if i < 20 else "pm", "Test", i, j, float(dense[i, j])) for i, j in cells]
     matrix = materialize(spark.createDataFrame(rows, "side string, split string, id long, term_id long, weight double"))
-    model = svd.truncated_svd(matrix, 4, tolerance=1e-10)
+    model = svd.by_sweeps(matrix, 4, tolerance=1e-10)
     u, s, vt = np.linalg.svd(dense, full_matrices=False)
     assert model.singular_values == pytest.approx(s[:4], abs=1e-8)
     corpus = spark.createDataFrame([("pm", "Test", 99)], "side string, split string, id long").unionByName(
@@ -232,8 +233,39 @@ def test_dense_vectors_rank_negative_cosines(spark):
     rows = [("web", "Test", 1, [1.0, 0.0]), ("pm", "Test", 1, [-1.0, 0.1]), ("pm", "Test", 2, [0.0, 0.0]), ("pm", "Test", 3, [0.5, 0.5])]
     vectors = spark.createDataFrame(rows, "side string, split string, id long, vec array<double>")
     links = spark.createDataFrame([(1, 1), (1, 2)], "web_id long, pmid long")
-    got = {r["pmid"]: r["rank"] for r in scoring.rank_links(links, materialize(svd.as_sparse(vectors, 2))).collect()}
-    assert got == {1: 3, 2: 2}
+    got = {(r["size"], r["pmid"]): r["rank"] for r in scoring.rank_prefixes(links, materialize(vectors), [2, 1]).collect()}
+    assert got == {(2, 1): 3, (2, 2): 2, (1, 1): 3, (1, 2): 2}
+
+
+def test_ranks_at_all_sizes_equal_plain_cosines(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SLICE_ENTRIES", 60)
+    monkeypatch.setattr(scoring, "_CELLS_AT_ONCE", 30)
+    rng = np.random.default_rng(4)
+    x = {("web", i): rng.integers(-2, 3, 8).astype(float) for i in range(12)} | {("pm", i): rng.integers(-2, 3, 8).astype(float) for i in range(40)}
+    rows = [(s, "Test", i, v.tolist()) for (s, i), v in x.items()]
+    vectors = materialize(spark.createDataFrame(rows, "side string, split string, id long, vec array<double>"))
+    links = [(i, (i * 7) % 40) for i in range(12)] + [(3, 4)]
+    got = scoring.rank_prefixes(spark.createDataFrame(links, "web_id long, pmid long"), vectors, [2, 5, 8]).collect()
+    assert len(got) == 3 * len(links)
+
+    def cosine(a, b, k):
+        scale = np.linalg.norm(a[:k]) * np.linalg.norm(b[:k])
+        return round(float(a[:k] @ b[:k] / scale), 9) if scale else 0.0
+
+    for r in got:
+        cosines = [cosine(x["web", r["web_id"]], x["pm", p], r["size"]) for p in range(40)]
+        assert r["rank"] == 1 + sum(c > cosines[r["pmid"]] for c in cosines) and abs(r["cos"] - cosines[r["pmid"]]) < 1e-9
+
+
+def test_moments_of_more_columns_hold_those_of_fewer(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(50, 4)), rng.normal(size=(50, 4))
+    pairs = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "x array<double>, y array<double>").repartition(7)
+    total = cca.moments(pairs, 4)
+    both = np.hstack([x, y, np.ones((50, 1))])
+    assert np.allclose(total, both.T @ both)
+    assert np.allclose(cca.prefix(total, 2), cca.moments(pairs, 2))
+    assert not cca.moments(pairs.where("false"), 2).any()
 
 
 def test_catalogue_has_stable_schemas(spark, sf):

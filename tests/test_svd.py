@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from linkloom.operators import svd
+from linkloom.operators import smallside, svd
 
 
 def as_rows(spark, a):
@@ -27,11 +27,23 @@ CASES = {
 }
 
 
+def by_lanczos(rows, k):
+    """The path for sides that are too large for all inner products, three columns at a time."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(smallside, "GRAM_SIDE", 0)
+        patch.setattr(smallside, "_COLUMNS", 3)
+        return svd.truncated_svd(rows, k, tolerance=1e-7)
+
+
+WAYS = {"inner products": svd.truncated_svd, "lanczos": by_lanczos, "sweeps": svd.by_sweeps}
+
+
+@pytest.mark.parametrize("way", WAYS)
 @pytest.mark.parametrize("name", CASES)
-def test_singular_values_and_vectors(spark, name):
+def test_singular_values_and_vectors(spark, name, way):
     make, k = CASES[name]
     a = make(np.random.default_rng(5))
-    model = svd.truncated_svd(as_rows(spark, a), k)
+    model = WAYS[way](as_rows(spark, a), k)
     exact = np.zeros(k)
     values = np.linalg.svd(a, compute_uv=False)[:k]
     exact[: len(values)] = np.where(values > values[0] * 1e-10, values, 0)
@@ -50,7 +62,39 @@ def test_singular_values_and_vectors(spark, name):
 def test_unsettled_raises(spark):
     a = np.random.default_rng(1).normal(size=(60, 50))
     with pytest.raises(RuntimeError):
-        svd.truncated_svd(as_rows(spark, a), 5, margin=1, max_sweeps=2)
+        svd.by_sweeps(as_rows(spark, a), 5, margin=1, max_sweeps=2)
+
+
+def test_real_frequencies_against_numpy(spark, sf):
+    from linkloom.operators import features
+    from linkloom.plans import catalog, experiment
+
+    prepared = catalog._prepared(spark, sf)
+    matrix = features.features(experiment.known_terms(prepared), "TF", prepared.n_docs)
+    rows = matrix.toPandas()
+    docs, terms = (rows.groupby(c).ngroup() for c in (["side", "id"], "term_id"))
+    a = np.zeros((docs.max() + 1, terms.max() + 1))
+    a[docs, terms] = rows["weight"]
+    exact = np.linalg.svd(a, compute_uv=False)[:400]
+    exact = np.pad(np.where(exact > exact[0] * 1e-8, exact, 0), (0, 400 - len(exact)))
+    for block in (smallside.GRAM_SIDE, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(smallside, "GRAM_SIDE", block)
+            got = svd.truncated_svd(matrix, 400).singular_values
+        assert np.allclose(got, exact, rtol=1e-4 if block == 0 else 1e-8, atol=exact[0] * 1e-8)
+
+
+def test_columns_in_slices_and_an_empty_matrix(spark, monkeypatch):
+    monkeypatch.setattr(smallside, "SLICE_VALUES", 40)
+    a = np.random.default_rng(2).random((14, 9)) + 0.1
+    for matrix in (a, a.T):
+        model = svd.truncated_svd(as_rows(spark, matrix), 5)
+        projected = {r.id: r.vec for r in model.projected.collect()}
+        basis = {r.term_id: r.v for r in model.basis.collect()}
+        p, v = (np.array([x[i] for i in range(len(x))]) for x in (projected, basis))
+        assert np.allclose(p, matrix @ v) and np.allclose(v.T @ v, np.eye(5))
+    empty = svd.truncated_svd(as_rows(spark, a).where("false"), 3)
+    assert empty.projected.count() == 0 and not empty.singular_values.any()
 
 
 def test_fit_now_transform_later(spark, tmp_path):
