@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-from linkloom.sources import schemas
+from linkloom.sources import quoted, schemas
 
 # Words that a CSV reader of data frames takes as missing.
 MISSING_WORDS = (
@@ -31,35 +31,27 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def article_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All article files as one frame with lower-case names.
+def _whole_files(spark: SparkSession, paths: str | Sequence[str], schema: t.StructType, sep: str) -> DataFrame:
+    """One task per file; for files with lone carriage returns or comments, which ``quoted`` does not know."""
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep)
+    return reader.option("mode", "PERMISSIVE").csv(paths if isinstance(paths, str) else list(paths))
+
+
+def article_files(spark: SparkSession, paths: str | Sequence[str], split: bool = True) -> DataFrame:
+    """All article files as one frame with lower-case names; large files are read by several tasks (``split``).
 
     Files that were appended to carry their header again in the middle; such rows have no numeric
     id and are dropped.
     """
-    raw = (
-        spark.read.schema(schemas.ARTICLE_FILE)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(paths if isinstance(paths, str) else list(paths))
-    )
+    raw = (quoted.read if split else _whole_files)(spark, paths, schemas.ARTICLE_FILE, ",")
     kept = raw.where(F.col("PMID").isNotNull())
     clean = [F.when(~F.col(c).isin(*MISSING_WORDS), F.col(c)).alias(c.lower()) for c in schemas.ARTICLE_FIELDS]
     return kept.select(F.col("PMID").alias("pmid"), *clean)
 
 
-def page_file(spark: SparkSession, path: str) -> DataFrame:
+def page_file(spark: SparkSession, path: str, split: bool = True) -> DataFrame:
     """First three columns of a tab-separated file; bytes that are not UTF-8 are left out."""
-    raw = (
-        spark.read.schema(schemas.PAGES)
-        .option("sep", "\t")
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(path)
-    )
+    raw = (quoted.read if split else _whole_files)(spark, path, schemas.PAGES, "\t")
     return raw.withColumns(
         {c: F.replace(F.col(c), F.lit("�"), F.lit("")) for c in ("processed_content", "final_url")}
     )
