@@ -54,24 +54,34 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
     return out
 
 
-def _split(held: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """``take`` blocks drawn without replacement from sources with ``held`` blocks, by marginals.
+def _drawn(n: int, others: int, take: int, rng: np.random.Generator) -> int:
+    """How many of ``take`` draws without replacement come from ``n`` of ``n + others`` blocks.
 
-    Above the generator's limit of a billion the marginal is drawn as a rounded normal with the
-    exact mean and variance, inside its support; quotas are exact either way.
+    Above the generator's limit of a billion the distribution is summed out from its mode, whose
+    neighbours' ratios are exact, over fourteen standard deviations, and inverted.
     """
+    total = n + others
+    if total < 1_000_000_000:
+        return int(rng.hypergeometric(n, others, take))
+    low, high = max(0, take - others), min(n, take)
+    mode = min(high, max(low, (n + 1) * (take + 1) // (total + 2)))
+    spread = (take * (n / total) * (others / total) * ((total - take) / max(1, total - 1))) ** 0.5
+    reach = int(14 * spread) + 32
+    x = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=np.float64)
+    ratio = (n - x[:-1]) * (take - x[:-1]) / ((x[:-1] + 1) * (others - take + x[:-1] + 1))  # p(x + 1) / p(x)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(ratio))])
+    mass = np.cumsum(np.exp(logs - logs.max()))
+    return int(x[np.searchsorted(mass, rng.random() * mass[-1], side="right").clip(0, len(x) - 1)])
+
+
+def _split(held: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """``take`` blocks drawn without replacement from sources with ``held`` blocks, by marginals."""
     out, rest = np.zeros_like(held), int(held.sum())
     for k, n in enumerate(held.tolist()):
         if take <= 0:
             break
-        others = rest - n
-        if rest < 1_000_000_000:
-            x = int(rng.hypergeometric(n, others, take))
-        else:
-            mean = take * n / rest
-            spread = (mean * (others / rest) * ((rest - take) / (rest - 1))) ** 0.5
-            x = min(n, take, max(0, take - others, round(rng.normal(mean, spread))))
-        out[k], take, rest = x, take - x, others
+        x = _drawn(n, rest - n, take, rng)
+        out[k], take, rest = x, take - x, rest - n
     return out
 
 
@@ -147,7 +157,10 @@ def _plan_frame(spark: SparkSession, plan: list[dict]) -> DataFrame:
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     return materialize(
         docs.select(
-            F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size")
+            F.col(f"`{id_col}`").alias("doc_id"),
+            F.col(f"`{source_col}`").alias("source"),
+            word_count(F.col(f"`{text_col}`")).alias("size"),
+            F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("content"),
         ).withColumn("rid", F.monotonically_increasing_id())
     )
 
@@ -156,17 +169,19 @@ def drawn_blocks(sized: DataFrame, plan: list[dict], shards: int = SHARDS, block
     """The mix's blocks: ``number, rid, doc_id, copy, first_word, n_words, shard, place``.
 
     A pass over a source takes each of its blocks once; the rest takes a prefix of the source's
-    permutation, the last block of it only as far as needed.  ``place`` orders a shard.
+    permutation, the last block of it only as far as needed.  ``place`` orders a shard.  The order
+    hashes a document's id and text, so it does not depend on files or partitions; equal rows are
+    neighbours in it and stand for each other.
     """
     spark = sized.sparkSession
     known = _plan_frame(spark, plan).select("number", "source", "passes", "rest")
     cut = (
         sized.where("size > 0")
         .join(F.broadcast(known), sized["source"].eqNullSafe(known["source"]))
-        .select("number", "rid", "doc_id", "size", "passes", "rest")
+        .select("number", "rid", "doc_id", "content", "size", "passes", "rest")
         .withColumn("first_word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block_words).cast("long"))))
         .withColumn("n_words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("first_word")))
-        .withColumn("mark", F.xxhash64(F.lit(seed), "number", "rid", "first_word"))
+        .withColumn("mark", F.xxhash64(F.lit(seed), "number", "content", "first_word"))
         .drop("size")
     )
     ranked = materialize(_running(cut, ["number"], [F.col("mark"), F.col("rid"), F.col("first_word")], "n_words"))
@@ -190,7 +205,7 @@ def drawn_blocks(sized: DataFrame, plan: list[dict], shards: int = SHARDS, block
     return drawn.select(
         "number", "rid", "doc_id", "copy", "first_word", "n_words",
         F.size(F.filter("stops", lambda x: x <= F.col("rank"))).alias("shard"),
-        F.xxhash64(F.lit(seed + 1), "number", "rid", "first_word", "copy").alias("place"),
+        F.xxhash64(F.lit(seed + 1), "number", "content", "first_word", "copy").alias("place"),
     )
 
 
@@ -217,17 +232,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, shard_tasks: int = 4) -> None:
     """Write the mixed texts, one folder per shard, each sorted by its local shuffle.
 
-    ``docs`` needs ``doc_id``, ``text`` and ``source``; ids must be unique here, as blocks are cut
-    from the text again.
+    ``docs`` needs ``doc_id``, ``text`` and ``source``; rows that share an id, and null ids, keep
+    their own words.  Blocks are cut before they move, and a shard is written by several tasks.
     """
-    sized = sized_documents(docs)
-    blocks = drawn_blocks(sized, plan_sources(sized), shards)
+    row = materialize(docs.select("doc_id", "text", "source").withColumn("rid", F.monotonically_increasing_id()))
+    sized = materialize(
+        row.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("content"), "rid")
+    )
+    blocks = materialize(drawn_blocks(sized, plan_sources(sized), shards).select("rid", "shard", "place", "first_word", "n_words"))
+    cuts = blocks.groupBy("rid").agg(F.collect_list(F.struct("shard", "place", "first_word", "n_words")).alias("cuts"))
     words = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), rf"[{BLANKS}]+", " ")), " ")
-    texts = docs.select("doc_id", words.alias("words"))
-    out = blocks.join(texts, "doc_id").select(
-        "shard", "place", "doc_id", F.array_join(F.slice("words", F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), " ").alias("text")
+    cut = F.transform(
+        "cuts",
+        lambda b: F.struct(
+            b["shard"].alias("shard"), b["place"].alias("place"),
+            F.array_join(F.slice("words", b["first_word"].cast("int") + 1, b["n_words"].cast("int")), " ").alias("text"),
+        ),
     )
-    out.repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+    texts = row.select("rid", "doc_id", words.alias("words")).join(cuts, "rid").select("doc_id", F.explode(cut).alias("b"))
+    out = texts.select("b.shard", "b.place", "doc_id", "b.text")
+    dealt = out.repartitionByRange(shards * shard_tasks, "shard", "place").sortWithinPartitions("shard", "place")
+    dealt.write.partitionBy("shard").parquet(path)

@@ -78,7 +78,7 @@ def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("shards")
+    return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:

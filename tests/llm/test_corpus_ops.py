@@ -126,6 +126,45 @@ def test_targets():
     assert mixing.targets([]) == []
 
 
+def test_large_draws_have_the_exact_distribution():
+    """Against exact probabilities: a small urn summed in the same way, and moments of a large one."""
+    from math import comb
+
+    class Fixed:
+        def __init__(self, u):
+            self.u = u
+
+        def random(self):
+            return self.u
+
+    n, others, take = 700_000_000, 800_000_000, 5
+    exact = [comb(n, x) * comb(others, take - x) / comb(n + others, take) for x in range(take + 1)]
+    bounds = np.concatenate([[0], np.cumsum(exact)])
+    for x in range(take + 1):
+        for u in (bounds[x] + 1e-7, bounds[x + 1] - 1e-7):
+            assert mixing._drawn(n, others, take, Fixed(u)) == x
+    rng = np.random.default_rng(1)
+    n, others, take = 3 * 10**9, 10**9, 10**9
+    got = np.array([mixing._drawn(n, others, take, rng) for _ in range(400)], float)
+    spread = (take * 0.75 * 0.25 * 0.75) ** 0.5
+    assert abs(got.mean() - 0.75 * take) < 5 * spread / 20 and 0.85 < got.std() / spread < 1.15
+
+
+def test_mix_does_not_depend_on_the_layout(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    one, other = (sorted(map(str, mixing.mix(d).collect())) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == other
+
+
+def test_the_tree_decides_the_shards(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = {r.doc_id: r.shards for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, shards, seed: np.array([[q] + [0] * (shards - 1) for q in quotas]))
+    after = {r.doc_id: r.shards for r in mixing.mix(docs).collect()}
+    assert before != after and all(s in (None, [0]) for s in after.values())
+
+
 def test_splitting_tree_meets_all_quotas():
     for quotas in ([5, 0, 7], [1], [0, 0], [1000, 3, 17, 10**9, 4 * 10**9]):
         shares = mixing.splitting_tree(quotas, 7)
@@ -172,13 +211,38 @@ def test_drawn_blocks_are_disjoint_and_even(spark, sf):
 
 
 def test_write_shards(spark, tmp_path):
-    docs = spark.createDataFrame([(i, " ".join(f"d{i}w{k}" for k in range(i)), "s%d" % (i % 2)) for i in range(40)], "doc_id long, text string, source string")
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(i)), "s%d" % (i % 2)) for i in range(40)]
+    rows += [(5, "same id other words", "s1"), (None, "no id", "s0"), (None, None, "s0"), (None, "no other id", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     mixing.write_shards(docs, str(tmp_path / "mix"), shards=3)
-    words = defaultdict(int)
+    words, want = defaultdict(int), defaultdict(int)
     for r in spark.read.parquet(str(tmp_path / "mix")).collect():
-        for w in r.text.split():
-            words[r.doc_id] += w.startswith(f"d{r.doc_id}w")
-    assert dict(words) == {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
+        words[r.doc_id] += len(r.text.split())
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.taken
+    assert dict(words) == {d: n for d, n in want.items() if n}
+    assert len(list((tmp_path / "mix" / "shard=0").glob("*.parquet"))) > 1
+
+
+def test_halves_apart_and_scores_that_do_not_depend_on_slices(spark, sf, monkeypatch):
+    """A plain scorer over whole documents; the item's halves lie up to many passages apart."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    longest = max(items, key=lambda r: len(decontaminate.words_of(r[1])))
+    docs, rng = [], random.Random(3)
+    for k, gap in enumerate((0, 7, 30, 90, 400)):
+        for start in range(0, 130, 13):
+            w = longest[1].split()
+            filler = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
+            docs.append((100 * k + start, " ".join([filler(start), *w[: len(w) // 2], filler(gap), *w[len(w) // 2 :], filler(50)])))
+    docs += [(900, items[3][1]), (901, "x " * 70 + items[4][1] + " and " + items[5][1])]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.leaks(table, bench).collect()))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, bench).collect()}
+    assert found == brute_leaks(docs, items) and {(d, longest[0]) for d, _ in docs[:50]} <= found
+    for r in decontaminate.leaks(table, bench).where("doc_id >= 900").collect():
+        assert r.score > 0.99 and r.overlap == 1.0  # the passage holds the item, so its own score
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 15)
+    assert sorted(map(str, decontaminate.leaks(table, bench).collect())) == whole
 
 
 def test_pipeline_stages(spark, sf):
