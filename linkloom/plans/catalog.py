@@ -181,6 +181,15 @@ def stage_audit(spark, sf_dir):
     )
 
 
+@register(
+    "pages_without_article",
+    f"""WITH {oracle.PAGES} SELECT web_id, pmid FROM web_raw WHERE pmid NOT IN (SELECT pmid FROM pm_clean)""",
+)
+def pages_without_article(spark, sf_dir):
+    pages = S.raw_pages(spark, sf_dir).select("web_id", "pmid")
+    return cleansing.missing_links(pages, article_cleanse(spark, sf_dir))
+
+
 @register(
     "surrogate_id",
     f"""WITH {oracle.D}, {oracle.RAW_PAGES}
