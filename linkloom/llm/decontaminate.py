@@ -11,8 +11,8 @@ batch are taken in one pass over its words.
 
 A retrieved item counts as leaked when the document holds its question and its answer, the two
 halves of its words: 0.8 of each half's five-word shingles (a half of fewer words is one shingle).
-The halves may lie apart.  One of them has half of the item's score or more, and it lies in one
-passage; so a passage retrieves an item at 0.8 of a half, and the whole document decides.
+The halves may lie apart.  One of them has half of the item's score or more and lies in one passage,
+which retrieves the item; where a passage holds a half, the whole document decides.
 
 A benchmark of more than ``INDEX_ITEMS`` items is searched in slices.  Frequencies of words, number
 and lengths of the items are those of all items, whatever the slice.
@@ -33,8 +33,8 @@ from linkloom.runtime import materialize
 
 SHINGLE_WORDS = 5
 OVERLAP = 0.8
-#: Share of an item's own BM25 score that a passage must reach: what is asked of its better half.
-SCORE_SHARE = 0.5 * OVERLAP
+#: Share of an item's own BM25 score that a passage must reach; the better half alone has as much.
+SCORE_SHARE = 0.5
 K1, B = 1.2, 0.75
 #: Terms in at least this share of the items are bounded, not looked up.
 COMMON_SHARE = 0.25
@@ -173,13 +173,15 @@ def find_leaks(index: Index, texts: list[str | None]) -> list[dict[int, tuple[fl
     owner = np.repeat(np.arange(len(texts)), parts)
     both = bound.copy()
     both[:-1] += bound[1:] * (owner[1:] == owner[:-1])[:, None]
-    last, held = -1, {}
+    last, held, at_passage, near = -1, {}, -1, {}
     for p, b in np.argwhere(both + index.spare >= index.lowest - 1e-9).tolist():
         d = int(owner[p])
         if d != last:
             last, held, refused = d, {}, set()
         lo = (p - int(first[d])) * step
         passage = words[d][lo : lo + 2 * step]
+        if p != at_passage:
+            at_passage, near = p, {}
         distinct = set(passage)
         for k in range(b * index.per_block, min((b + 1) * index.per_block, len(index.ids))):
             if k in refused:
@@ -188,6 +190,8 @@ def find_leaks(index: Index, texts: list[str | None]) -> list[dict[int, tuple[fl
             score = sum(x for w, x in weights.items() if w in distinct)
             if score < index.need[k] - 1e-9:
                 continue
+            if all(overlaps([half], passage, near) < OVERLAP for half in index.halves[k]):
+                continue  # no half lies here; the whole document is only looked at where one does
             share = overlaps(index.halves[k], words[d], held)
             if share < OVERLAP:
                 refused.add(k)
