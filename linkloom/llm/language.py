@@ -2,15 +2,16 @@
 
 A document's languages are weighed by the product of independent pieces of evidence: the likelihood
 of its text (byte trigrams, fitted on all documents with a language), the language that its markup
-declares, the suffix of its address, and the prior of its host.  How much a declaration or a suffix
-tells is counted over the whole table; host priors are counts shrunk towards the registered domain,
-that towards the suffix, that towards the whole table.  All of these are grouped aggregations.
+declares, the suffix of its address, and the prior of its host.  How much a declaration tells is
+counted over the whole table; host priors are counts shrunk towards the registered domain, that
+towards the suffix of the address, that towards the whole table, so a suffix counts once.  A
+document's own verdict is left out of all counts it is judged by.  All of these are grouped
+aggregations.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ TEMPER = 0.3
 #: Weight of the level above, in documents, at each level of the host prior.
 PRIOR_WEIGHT = 5.0
 SMOOTHING = 1.0
+#: A declaration is believed as if so many documents of its language had made it before.
+DECLARED_TRUST = 10.0
 #: More languages than this in the training column are refused, not dropped.
 MAX_LANGUAGES = 256
 _CHUNK = 1 << 16
@@ -111,72 +114,82 @@ def from_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _per_language(languages: list[str]) -> list[Column]:
-    return [F.count(F.when(F.col("best") == name, 1)) for name in languages]
+def _counts(size: int) -> Column:
+    """How many rows have each language by their text; texts that tell nothing are not counted."""
+    return F.array(*[F.count(F.when(F.col("at") == k, 1)) for k in range(size)])
+
+
+def _others(counts: Column) -> Column:
+    """Counts that hold the row itself, without it."""
+    return F.transform(counts, lambda n, k: n - F.when(k == F.col("at"), 1).otherwise(0))
+
+
+def _shrunk(counts: Column, prior: Column) -> Column:
+    total = F.aggregate(_others(counts), F.lit(0).cast("long"), lambda a, n: a + n)
+    return F.zip_with(_others(counts), prior, lambda n, p: (n + PRIOR_WEIGHT * p) / (total + PRIOR_WEIGHT))
+
+
+def _claim(languages: list[str], declared: list[int]) -> Column:
+    """Log likelihood of what the row declares under each language; zero where it declares nothing.
+
+    ``n_said`` counts the rows that declare the same, ``declared`` those that declare anything.
+    """
+    trust = F.array(*[F.when(F.col("said") == name, DECLARED_TRUST).otherwise(0.0) for name in languages])
+    same = F.zip_with(_others(F.col("n_said")), trust, lambda n, t: n + t + SMOOTHING)
+    spread = SMOOTHING * (len(languages) + 1) + DECLARED_TRUST
+    known = F.zip_with(same, _others(_longs(declared)), lambda n, all_: F.log(n / (all_ + spread)))
+    return F.when(F.col("said").isNull(), F.array_repeat(F.lit(0.0), len(languages))).otherwise(known)
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(n).cast("long") for n in values])
 
 
 def identify(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
     """One row per input row: ``doc_id, page_id, lang, confidence, text_lang, declared``.
 
-    ``rows`` comes from ``from_pages`` or ``from_documents`` or has their columns.  Null or empty
-    texts give no text evidence and are judged by the rest; a null declaration gives none; null
-    hosts form one host.  Repeated rows are all judged and all counted.  Ties go to the first
-    language in alphabetical order.  Without any language to learn from ``lang`` is null.  An empty
-    table gives an empty result.
+    ``rows`` comes from ``from_pages`` or ``from_documents`` or has their columns; others are left out.
+    Null or empty texts give no text evidence, are judged by the rest and not counted; a null
+    declaration gives none; null hosts form one host.  Repeated rows are all judged and all counted,
+    each for the others.  Ties go to the first language in alphabetical order.  Without any language
+    to learn from ``lang`` is null.  An empty table gives an empty result.
     """
     fields = "doc_id long, page_id long, declared string, host string, domain string, suffix string, evidence array<double>"
     scored = rows.select("doc_id", "page_id", "text", "declared", "host", "domain", "suffix").mapInArrow(_scorer(model), fields)
     if not languages:
         none = F.lit(None).cast("string")
         return scored.select("doc_id", "page_id", none.alias("lang"), F.lit(None).cast("double").alias("confidence"), none.alias("text_lang"), "declared")
-    names = F.array(*[F.lit(n) for n in languages])
-    best = F.element_at(names, F.array_position("evidence", F.array_max("evidence")).cast("int"))
+    size, names = len(languages), F.array(*[F.lit(n) for n in languages])
+    place = F.array_position("evidence", F.array_max("evidence")).cast("int")
+    tells = F.array_max("evidence") > F.array_min("evidence")
     kind = F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(F.when(F.col("declared").isNotNull(), F.lit("other")))
-    items = materialize(scored.withColumns({"best": best, "said": kind, **{c: F.coalesce(c, F.lit("")) for c in ("host", "domain", "suffix")}}))
+    items = materialize(
+        scored.withColumns(
+            {"best": F.element_at(names, place), "at": F.when(tells, place - 1), "said": kind, **{c: F.coalesce(c, F.lit("")) for c in ("host", "domain", "suffix")}}
+        )
+    )
 
     def level(*keys: str) -> DataFrame:
-        return items.groupBy(*keys).agg(F.array(*_per_language(languages)).alias(f"n_{keys[0]}"))
-
-    whole = items.agg(F.array(*_per_language(languages)).alias("n")).first()["n"]
-    base = np.array(whole, float) + SMOOTHING
-    base /= base.sum()
-
-    def shrunk(counts: str, prior: list[Column]) -> list[Column]:
-        total = reduce(lambda a, b: a + b, (F.col(counts)[k] for k in range(len(languages))))
-        return [(F.col(counts)[k] + PRIOR_WEIGHT * p) / (total + PRIOR_WEIGHT) for k, p in enumerate(prior)]
-
-    by_suffix = level("suffix")
-    suffix_prior = by_suffix.select("suffix", "n_suffix", F.array(*shrunk("n_suffix", [F.lit(float(b)) for b in base])).alias("p_suffix"))
-    domain_prior = (
-        level("domain", "suffix")
-        .join(suffix_prior, "suffix")
-        .select("domain", "suffix", "n_suffix", F.array(*shrunk("n_domain", [F.col("p_suffix")[k] for k in range(len(languages))])).alias("p_domain"))
-    )
-    host_prior = (
-        level("host", "domain", "suffix")
-        .join(domain_prior, ["domain", "suffix"])
-        .select("host", "domain", "suffix", "n_suffix", F.array(*shrunk("n_host", [F.col("p_domain")[k] for k in range(len(languages))])).alias("p_host"))
-    )
-    suffixes = max(1, by_suffix.count())
-    told = items.where("said IS NOT NULL").groupBy("said", "best").agg(F.count(F.lit(1)).alias("n")).collect()
-    table = np.full((len(languages) + 1, len(languages)), SMOOTHING)
-    for r in told:
-        table[languages.index(r.said) if r.said in languages else -1, languages.index(r.best)] += r.n
-    table = np.log(table / table.sum(0))
-
-    def declared(k: int) -> Column:
-        out = F.lit(0.0)
-        for j, name in enumerate([*languages, "other"]):
-            out = F.when(F.col("said") == name, F.lit(float(table[j, k]))).otherwise(out)
-        return out
-
-    def address(k: int) -> Column:
-        return F.log((F.col("n_suffix")[k] + SMOOTHING) / (F.lit(float(whole[k])) + SMOOTHING * suffixes))
-
-    joined = items.join(host_prior, ["host", "domain", "suffix"])
-    fused = joined.withColumn(
-        "log_post", F.array(*[F.col("evidence")[k] + declared(k) + address(k) + F.log(F.col("p_host")[k]) for k in range(len(languages))])
-    ).withColumn("top", F.array_max("log_post"))
+        return items.groupBy(*keys).agg(_counts(size).alias(f"n_{keys[0]}"))
+
+    # One row per key, written before it is joined, so that Spark splits a key with many rows.
+    by_suffix = materialize(level("suffix"))
+    by_domain = materialize(level("domain", "suffix").join(by_suffix, "suffix"))
+    by_host = materialize(level("host", "domain", "suffix").join(by_domain, ["domain", "suffix"]))
+    said = F.col("said").isNotNull()
+    declared = [F.count(F.when(said & (F.col("at") == k), 1)) for k in range(size)]
+    sums = items.agg(_counts(size).alias("whole"), F.array(*declared).alias("declared")).first()
+    told = items.where(said).groupBy("said").agg(_counts(size).alias("n_said"))  # a row per language at most, and one
+
+    whole = _others(_longs(sums["whole"]))
+    total = F.lit(sum(sums["whole"])) - F.col("at").isNotNull().cast("int")
+    base = F.transform(whole, lambda n: (n + SMOOTHING) / (total + SMOOTHING * size))
+    joined = items.join(by_host, ["host", "domain", "suffix"]).join(F.broadcast(told), "said", "left")
+    prior = joined.withColumn("prior", base)
+    for counts in ("n_suffix", "n_domain", "n_host"):
+        prior = prior.withColumn("prior", _shrunk(F.col(counts), F.col("prior")))
+    stated = F.zip_with("evidence", _claim(languages, sums["declared"]), lambda x, y: x + y)
+    fused = prior.withColumn("log_post", F.zip_with(stated, F.col("prior"), lambda x, p: x + F.log(p))).withColumn("top", F.array_max("log_post"))
     mass = F.aggregate("log_post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     return fused.select(
         "doc_id", "page_id", F.element_at(names, F.array_position("log_post", F.col("top")).cast("int")).alias("lang"),
