@@ -1,9 +1,10 @@
 """Exact duplicates by deterministic block naming, in DataFrame operations only.
 
-A text is cut into blocks of a fixed number of bytes.  Distinct blocks are sorted and numbered, so
-a block has one integer name; then adjacent names are paired, the distinct pairs are sorted and
-numbered in the same way, and so on until each document is one name.  Two documents have the same
-``(number of blocks, name)`` exactly when their texts are equal.
+A text is cut into blocks of a fixed number of bytes.  Distinct blocks are sorted (by hash, then by
+content) and numbered 0, 1, 2, ..., so a block has one integer name; then adjacent names are paired,
+the distinct pairs are sorted and numbered in the same way, and so on until each document is one
+name.  Two documents have the same ``(number of blocks, name)`` exactly when their texts are equal.
+Names depend on the set of texts only, not on how the rows or the shuffles are dealt.
 
 The text itself is shuffled once, for the distinct blocks, with a map-side combine.  Documents
 carry only the 64-bit hash of a block to the join with the names.  A hash that stands for one
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.shared import BLANKS
+from linkloom.operators.ordering import with_global_index
 from linkloom.runtime import materialize
 
 BLOCK_BYTES = 4096
@@ -30,11 +32,8 @@ def normalised(text: Column) -> Column:
 
 
 def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
-    """One integer per row, ascending in the order of ``keys`` inside a partition.
-
-    The numbers are fixed by being written; no reader computes them again.
-    """
-    return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
+    """The rows numbered 0, 1, 2, ... in the order of ``keys``, written."""
+    return materialize(with_global_index(distinct, [F.col(k) for k in keys], "name"))
 
 
 def _blocks(data: Column, n: Column, size: int) -> Column:
@@ -74,10 +73,10 @@ def name_documents(
         )
     )
     pieces = cut.select("rid", F.posexplode("blocks").alias("idx", "block")).withColumn("code", code(F.col("block")))
-    names = materialize(_numbered(pieces.groupBy("code", "block").agg(F.lit(1)), "code", "block").select("code", "name"))
+    codes = materialize(pieces.groupBy("code", "block").agg(F.lit(1)).select("code"))
     # One row per key, written before it is joined: both sides of the join are plain shuffles then,
     # and Spark splits the partition of a block or a name that a large share of documents has.
-    per_code = materialize(names.groupBy("code").agg(F.count(F.lit(1)).alias("k"), F.min("name").alias("name")))
+    per_code = _numbered(codes.groupBy("code").agg(F.count(F.lit(1)).alias("k")), "code")
     shared = per_code.where("k > 1").select("code")
     spots = heads.select("rid", "n", F.posexplode("codes").alias("idx", "code"))
     plain = spots.join(per_code.where("k = 1").select("code", "name"), "code").select("rid", "n", "idx", "name")
@@ -85,7 +84,7 @@ def name_documents(
         level = plain
     else:
         collided = materialize(pieces.join(shared, "code"))
-        by_content = materialize(_numbered(collided.select("code", "block").distinct(), "code", "block"))
+        by_content = _numbered(collided.select("code", "block").distinct(), "code", "block")
         again = (
             collided.join(by_content, ["code", "block"])
             .select("rid", "idx", (-1 - F.col("name")).alias("name"))
@@ -110,7 +109,7 @@ def name_documents(
             .withColumn("lone", F.col("r").isNull())
             .withColumn("r", F.coalesce("r", F.lit(0)))
         )
-        pair_names = materialize(_numbered(pairs.select("l", "r", "lone").distinct(), "l", "r", "lone"))
+        pair_names = _numbered(pairs.select("l", "r", "lone").distinct(), "l", "r", "lone")
         level = pairs.join(pair_names, ["l", "r", "lone"]).select("rid", "n", F.col("half").alias("idx"), "name")
         width *= 2
 
