@@ -99,7 +99,7 @@ def page_text(pages: DataFrame) -> DataFrame:
     title, content = T.split_marked(F.col("processed_content"))
     split = pages.withColumns(
         {
-            "processed_content": F.trim(T.collapse_whitespace(F.col("processed_content"))),
+            "processed_content": T.collapse_whitespace(F.col("processed_content")),
             "title": F.coalesce(F.trim(title), F.lit("None")),
             "content": F.coalesce(F.trim(content), F.lit("None")),
         }
@@ -108,7 +108,7 @@ def page_text(pages: DataFrame) -> DataFrame:
         {
             "title_nan": T.is_missing(F.col("title")),
             "content_nan": T.is_missing(F.col("content")),
-            "text_length": T.word_count(F.col("processed_content")),
+            "text_length": T.collapsed_word_count(F.col("processed_content")),
         }
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.skew import HOT_ROWS, attach_per_key, text_key
+from linkloom.runtime import materialize
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -57,9 +58,21 @@ def with_link_counts(pages: DataFrame, row_id: str = "web_id", hot_rows: int = H
 
 
 def drop_exact_duplicates(pages: DataFrame, row_id: str = "web_id") -> DataFrame:
-    """Keep-first on (content, pmid), then on (title, pmid), then the link counts."""
-    once = keep_first(pages, ["content", "pmid"], row_id)
-    return with_link_counts(keep_first(once, ["title", "pmid"], row_id), row_id)
+    """Keep-first on (content, pmid), then on (title, pmid), then the link counts.
+
+    Rows are chosen and counted on their ids and fixed-width keys; the texts move once, when the
+    chosen rows are fetched.
+    """
+    ids = [row_id, "pmid", "url"]
+    keyed = pages.select(*ids, *[text_key(F.col(c), F.col("pmid")).alias(f"_{c}") for c in ("content", "title")])
+    kept = materialize(keyed)
+    for key in ("_content", "_title"):
+        winners = kept.groupBy(key).agg(F.min(row_id).alias(row_id)).select(row_id)
+        kept = materialize(kept.join(winners, row_id, "left_semi"))
+    counted = with_link_counts(kept.select(*ids), row_id).distinct()
+    chosen = counted.select(*[F.col(c).alias(f"_{c}") for c in ids], "pmid_count", "url_count")
+    same = (F.col(row_id) == F.col(f"_{row_id}")) & F.col("pmid").eqNullSafe(F.col("_pmid")) & F.col("url").eqNullSafe(F.col("_url"))
+    return pages.join(materialize(chosen), same).select(*[F.col(c) for c in pages.columns], "pmid_count", "url_count")
 
 
 def distinct_profile(pages: DataFrame) -> DataFrame:
