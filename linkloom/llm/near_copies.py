@@ -1,7 +1,10 @@
 """One of each group of near copies: texts whose five-word shingles have a Jaccard of 0.8 or more.
 
-Fingerprints of such texts differ by up to a third of their bits, and no equal run of bits is left
-to meet in; so candidates meet in shingles, without loss.  All shingles stand in one global order,
+Texts whose SimHash fingerprints, of the same shingles, differ in two bits or fewer are found first, as
+op3 finds them: in blocks of equal bytes, by the distances to its references.  The pairs that its
+forest of links proposes are judged by their whole texts, and those that are near copies make the
+first components.  But fingerprints of near copies differ by up to a third of their bits, and no equal
+run of bits is left to meet in; so the others meet in shingles, without loss.  All shingles stand in one global order,
 rarest first; two texts at 0.8 or more share one of the first n - ceil(0.8 n) + 1 of their n.  How
 rare a shingle is comes from counters that shingles share by hash; they only set the order, and any
 order finds every pair.  The keys are dealt by range, so a common shingle spans tasks.  Shingles are told apart by 64 bits of hash up to here.  Of the
@@ -24,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.shared import connected_components, shuffle_width
-from linkloom.runtime import materialize
+from linkloom.llm.simhash import fingerprint_links, fingerprint_of
+from linkloom.runtime import discard, materialize, scratch
 
 SHINGLE_WORDS = 5
 #: Least Jaccard of near copies, as a fraction.
@@ -120,15 +124,16 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, bits = [], np.zeros((batch.num_rows, PARITY * 64), np.uint8)
+        sizes, fps, bits = [], [], np.zeros((batch.num_rows, PARITY * 64), np.uint8)
         for k, text in enumerate(batch.column(1)):
             h = _hashes(text.as_py())
             sizes.append(len(h))
+            fps.append(fingerprint_of(h))
             bits[k] = np.bincount((h >> np.uint64(40)).astype(np.int64) % (PARITY * 64), minlength=PARITY * 64) & 1
         packed = np.packbits(bits, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int32()), *[pa.array(np.ascontiguousarray(c)) for c in packed.T]],
-            ["node", "size", *[f"p{j}" for j in range(PARITY)]],
+            [batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in packed.T]],
+            ["node", "size", "fp", *[f"p{j}" for j in range(PARITY)]],
         )
 
 
@@ -206,24 +211,43 @@ def _others(rows: DataFrame) -> DataFrame:
     )
 
 
+def _fingerprint_pairs(parities: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` that connect the texts whose fingerprints are equal or linked: no more than texts."""
+    heads = materialize(parities.groupBy("fp").agg(F.min("node").alias("head")))
+    linked = materialize(fingerprint_links(heads.select("fp")).distinct())
+    u, v = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in "uv")
+    between = linked.join(u, "u").join(v, "v").select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
+    equal = parities.select("node", "fp").join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    return equal.unionByName(between)
+
+
 def links(texts: DataFrame) -> DataFrame:
     """Links ``(u, v)`` that connect all near copies of ``texts(rid, text)``, a written table."""
-    keys = texts.select("rid", "text").mapInArrow(_prefixes(counters(texts.select("text"))), _KEYS)
-    met = materialize(
-        keys.repartitionByRange(shuffle_width(texts), "key", "node").sortWithinPartitions("key", "node").mapInArrow(_common, _KEYS)
-    )
-    parities = materialize(texts.select("rid", "text").mapInArrow(_parities, "node long, size int, " + ", ".join(f"p{j} long" for j in range(PARITY))))
+    spark = texts.sparkSession
+    fields = "node long, size int, fp long, " + ", ".join(f"p{j} long" for j in range(PARITY))
+    parities = materialize(texts.select("rid", "text").mapInArrow(_parities, fields))
     tree = texts.select(F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
     near = judged = tree.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    rows = met
-    for seed in range(ROUNDS + 1):
-        rows = _mixed(rows.select("key", "node", "size", "place"), tree)
-        pairs = _with_heads(rows, seed) if seed < ROUNDS else _others(rows)
-        new = materialize(pairs.join(judged, ["u", "v"], "left_anti"))
-        found = _verified(_possible(new, parities), texts)
-        judged, near = judged.unionByName(new), near.unionByName(found)
-        if seed < ROUNDS:
-            tree = materialize(connected_components(near))
+    rows = None
+    for seed in range(-1, ROUNDS + 1):
+        with scratch(spark) as keep:
+            if seed < 0:
+                pairs = _fingerprint_pairs(parities)
+            else:
+                if rows is None:
+                    keys = texts.select("rid", "text").mapInArrow(_prefixes(counters(texts.select("text"))), _KEYS)
+                    rows = materialize(
+                        keys.repartitionByRange(shuffle_width(texts), "key", "node").sortWithinPartitions("key", "node").mapInArrow(_common, _KEYS)
+                    )
+                mixed = keep(_mixed(rows.select("key", "node", "size", "place"), tree))
+                discard(rows)
+                rows = mixed
+                pairs = _with_heads(rows, seed) if seed < ROUNDS else _others(rows)
+            new = keep(materialize(pairs.join(judged, ["u", "v"], "left_anti")))
+            found = keep(_verified(_possible(new, parities), texts))
+            judged, near = judged.unionByName(new), near.unionByName(found)
+            if seed < ROUNDS:
+                tree = keep(materialize(connected_components(near)))
     return near
 
 
@@ -235,11 +259,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     staged = materialize(docs.select(row.alias("row")).withColumn("rid", F.monotonically_increasing_id()))
-    tree = materialize(connected_components(links(staged.select("rid", F.col("row").getField(text_col).alias("text")))))
-    marked = materialize(
-        staged.select("rid", F.col("row").getField(id_col).alias("doc_id")).join(tree.withColumnRenamed("node", "rid"), "rid")
-    )
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))
-    stays = marked.groupBy("component").agg(best.alias("best")).select(F.col("best.rid").alias("rid"))
-    goes = materialize(marked.select("rid").join(stays, "rid", "left_anti"))
+    with scratch(docs.sparkSession) as keep:
+        tree = materialize(connected_components(links(staged.select("rid", F.col("row").getField(text_col).alias("text")))))
+        marked = materialize(
+            staged.select("rid", F.col("row").getField(id_col).alias("doc_id")).join(tree.withColumnRenamed("node", "rid"), "rid")
+        )
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))
+        stays = marked.groupBy("component").agg(best.alias("best")).select(F.col("best.rid").alias("rid"))
+        goes = keep(materialize(marked.select("rid").join(stays, "rid", "left_anti")))
     return staged.join(goes, "rid", "left_anti").select("row.*")

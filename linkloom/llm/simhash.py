@@ -52,9 +52,21 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     for k in range(0, n, _CHUNK):
         codes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[k : k + _CHUNK], ends[k : k + _CHUNK])], np.uint64)
         votes += np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return _majority(votes, n)
+
+
+def _majority(votes: np.ndarray, n: int) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint_of(codes: np.ndarray) -> int:
+    """The fingerprint of given shingle hashes."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(codes), _CHUNK):
+        votes += np.unpackbits(codes[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return _majority(votes, len(codes))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
