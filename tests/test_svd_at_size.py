@@ -1,0 +1,61 @@
+"""The decomposition of matrices too large for a whole Lanczos basis, and the packing of their entries."""
+
+import numpy as np
+import pytest
+
+from linkloom.operators import smallside, svd
+
+SCHEMA = "side string, split string, id long, term_id long, weight double"
+
+
+def rows_of(spark, a, spread=1):
+    return spark.createDataFrame(
+        [("web", "Train", int(i), int(j) * spread, float(a[i, j])) for i, j in zip(*np.nonzero(a))], SCHEMA
+    )
+
+
+def refuse(*_, **__):
+    raise AssertionError("swept")
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_few_components_of_many_rows_need_no_sweeps(spark, k):
+    rng = np.random.default_rng(3)
+    a = rng.random((240, 300)) * (rng.random((240, 300)) < 0.3) + np.outer(rng.random(240), rng.random(300))
+    a += 3 * np.outer(rng.normal(size=240), rng.normal(size=300)) / 15 + 2 * np.outer(rng.normal(size=240), rng.normal(size=300)) / 15
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(smallside, "GRAM_SIDE", 0)
+        patch.setattr(smallside, "BASIS_VALUES", 240 * (2 * k + 16))
+        patch.setattr(svd, "by_sweeps", refuse)
+        model = svd.truncated_svd(rows_of(spark, a), k)
+    u, s, _ = np.linalg.svd(a)
+    assert np.allclose(model.singular_values, s[:k], rtol=1e-6)
+    got = {r.id: r.vec for r in model.projected.collect()}
+    got = np.array([got[i] for i in range(len(a))])
+    assert np.allclose(np.abs(got), np.abs(u[:, :k] * s[:k]), atol=1e-3 * s[0])
+
+
+def test_what_does_not_settle_in_a_short_basis_is_swept(spark):
+    a = np.random.default_rng(4).random((60, 70))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(smallside, "GRAM_SIDE", 0)
+        patch.setattr(smallside, "BASIS_VALUES", 60 * 20)
+        patch.setattr(svd, "_RESTART_TOLERANCE", -1.0)
+        patch.setattr(svd, "by_sweeps", refuse)
+        with pytest.raises(AssertionError, match="swept"):
+            svd.truncated_svd(rows_of(spark, a), 1)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("spread", [1, 5])
+def test_both_packings_hold_all_entries(spark, spread, turned):
+    a = np.random.default_rng(2).integers(0, 3, (9, 7)).astype(float) + np.eye(9, 7)
+    entries, document, term = rows_of(spark, a, spread), ["side", "split", "id"], ["term_id"]
+    sides = (term, document, 7, 9) if turned else (document, term, 9, 7)
+    data = smallside.numbered(entries, *sides)
+    want = a.T if turned else a
+    for rows, key, shape, flip in ((data.small, "i", want.shape, False), (data.other, "j", want.T.shape, True)):
+        got = np.zeros(shape)
+        for r in rows.collect():
+            got[r[key], r["at"]] = r["weights"]
+        assert np.array_equal(got.T if flip else got, want)
