@@ -161,10 +161,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(u, v)``, a written table, whose whole texts are near copies.
 
     A head stands in ``v``, which comes last: its text is shipped to a task once for all its partners.
+    Only texts that some pair names are joined with the pairs.
     """
-    u = texts.select(F.col("rid").alias("u"), F.col("text").alias("a"))
-    v = texts.select(F.col("rid").alias("v"), F.col("text").alias("b"))
-    return materialize(pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(_judge, "u long, v long"))
+    named = materialize(pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct())
+    own = materialize(texts.select("rid", "text").join(named, "rid", "left_semi"))
+    u = own.select(F.col("rid").alias("u"), F.col("text").alias("a"))
+    v = own.select(F.col("rid").alias("v"), F.col("text").alias("b"))
+    good = materialize(pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(_judge, "u long, v long"))
+    discard(named, own)
+    return good
 
 
 _KEYS = "key long, node long, size int, place int"
@@ -177,7 +182,9 @@ def _mixed(rows: DataFrame, tree: DataFrame) -> DataFrame:
         rows.join(tree, "node", "left").select("key", "node", "size", "place", F.coalesce("component", "node").alias("component"))
     )
     keys = materialize(marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
-    return materialize(marked.join(keys, "key"))
+    mixed = materialize(marked.join(keys, "key"))
+    discard(marked, keys)
+    return mixed
 
 
 def _with_heads(rows: DataFrame, seed: int) -> DataFrame:
